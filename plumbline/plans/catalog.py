@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from plumbline.plans import contract_queries  # noqa: F401
+from plumbline.plans import contract_queries, metric_queries, model_queries, profile_queries, stats_queries  # noqa: F401
 from plumbline.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -13,25 +13,25 @@ ORACLES: dict[str, str] = {}
 DIGITS = 6
 
 
-def _tidy(df: DataFrame) -> DataFrame:
+def _tidy(df: DataFrame, digits: int) -> DataFrame:
     """Round doubles and widen integers, so both engines print values alike."""
     def fix(f: T.StructField):
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            return (F.round(c.cast("double"), DIGITS) + F.lit(0.0)).alias(f.name)
+            return (F.round(c.cast("double"), digits) + F.lit(0.0)).alias(f.name)
         if isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             return c.cast("long").alias(f.name)
         return c.alias(f.name)
     return df.select(*[fix(f) for f in df.schema.fields])
 
 
-def query(name: str, sql: str | None = None, doubles: str = "", longs: str = ""):
+def query(name: str, sql: str | None = None, doubles: str = "", longs: str = "", digits: int = DIGITS):
     """Register ``f(spark, sf_dir)``. ``doubles`` and ``longs`` name the numeric columns of the
     SQL result, which get the same rounding and width."""
     def wrap(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: _tidy(f(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: _tidy(f(spark, sf_dir), digits)
         if sql is not None:
-            fixes = [f"round(CAST({c} AS DOUBLE), {DIGITS}) + 0.0 AS {c}" for c in doubles.split()]
+            fixes = [f"round(CAST({c} AS DOUBLE), {digits}) + 0.0 AS {c}" for c in doubles.split()]
             fixes += [f"CAST({c} AS BIGINT) AS {c}" for c in longs.split()]
             ORACLES[name] = (f"SELECT * REPLACE ({', '.join(fixes)}) FROM ({sql}) AS result"
                              if fixes else sql)

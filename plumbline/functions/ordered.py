@@ -106,22 +106,24 @@ def order_statistics(df: DataFrame, value: str, ranks: Column, keys: Sequence[st
     bucket = value_bucket(quoted(value)) if bucket is None else bucket
     kept = df.filter(quoted(value).isNotNull()).select(
         *kcols, quoted(value), bucket.alias("__bucket"))
-    counts = kept.groupBy(*kcols, "__bucket").agg(F.count(F.lit(1)).alias("n"))
-    offsets = _bucket_offsets(counts, ["n"], keys).withColumnRenamed("n_total", "n")
-    sizes = _null_safe_join(counts.withColumnRenamed("n", "__size"), offsets, [*keys, "__bucket"])
-    wanted = (sizes.select("*", F.explode(F.array_distinct(ranks)).alias("rank"))
-              .filter((F.col("rank") >= F.col("__n_offset"))
-                      & (F.col("rank") < F.col("__n_offset") + F.col("__size"))))
-    targets = wanted.groupBy(*kcols, "__bucket", "n", F.col("__n_offset").alias("__start")).agg(
-        F.collect_set("rank").alias("__ranks"))
+    counts = kept.groupBy(*kcols, "__bucket").agg(F.count(F.lit(1)).alias("__size"))
+    # The bucket table holds at most (octaves * resolution) rows per key.
+    group = Window.partitionBy(*kcols, F.lit(0))
+    placed = counts.select(
+        "*", F.coalesce(F.sum("__size").over(group.orderBy("__bucket").rowsBetween(
+            Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"),
+        F.sum("__size").over(group).alias("n"))
+    here = F.filter(F.array_distinct(ranks), lambda r: (r >= F.col("__start"))
+                    & (r < F.col("__start") + F.col("__size")))
+    targets = placed.withColumn("__ranks", here).filter(F.size("__ranks") > 0).drop("__size")
     hits = _null_safe_join(kept, targets, [*keys, "__bucket"])
     per_value = hits.groupBy(*kcols, "__bucket", "n", "__start", "__ranks", quoted(value)).agg(
         F.count(F.lit(1)).alias("__size"))
     inside = (Window.partitionBy(*kcols, "__bucket").orderBy(quoted(value))
               .rowsBetween(Window.unboundedPreceding, -1))
-    placed = per_value.withColumn(
+    ranked = per_value.withColumn(
         "__first", F.col("__start") + F.coalesce(F.sum("__size").over(inside), F.lit(0)))
-    return (placed.select(*kcols, "n", quoted(value), "__first", "__size",
+    return (ranked.select(*kcols, "n", quoted(value), "__first", "__size",
                           F.explode("__ranks").alias("rank"))
             .filter((F.col("rank") >= F.col("__first"))
                     & (F.col("rank") < F.col("__first") + F.col("__size")))

@@ -79,8 +79,11 @@ class CalibratedModel:
     def _member_probability(self, df: DataFrame, i: int) -> DataFrame:
         model, slope, intercept = self.members[i]
         keep = [quoted(c) for c in df.columns]
-        z = F.lit(intercept) + F.lit(slope) * logit(vector_to_array("probability")[1])
-        return model.transform(df).select(*keep, (F.lit(1.0) / (F.lit(1.0) + F.exp(-z))).alias(f"__member_{i}"))
+        # The raw score is its own projection, so the model runs once per row although
+        # the curve uses it twice.
+        raw = model.transform(df).select(*keep, vector_to_array("probability")[1].alias("__raw"))
+        z = F.lit(intercept) + F.lit(slope) * logit(F.col("__raw"))
+        return raw.select(*keep, (F.lit(1.0) / (F.lit(1.0) + F.exp(-z))).alias(f"__member_{i}"))
 
     def transform(self, df: DataFrame) -> DataFrame:
         keep = [quoted(c) for c in df.columns]
@@ -118,7 +121,7 @@ def calibrated_cv(df: DataFrame, spec: ModelSpec, ids: Sequence[str], k: int = 3
     def job(f: int):
         def run():
             train = base.filter(F.col("fold") != f)
-            model = fit(spec, train, seed, label)
+            model = fit(spec, train, seed, label, cache=False)
             rows = train if in_sample else base.filter(F.col("fold") == f)
             platt = fit_platt(score(rows, model), label, smooth=True)
             return model, float(platt.coefficients[0]), float(platt.intercept)

@@ -49,11 +49,16 @@ def permutation_importance(df: DataFrame, model, cols: Sequence[str], ids: Seque
 
     All (column, repeat) variants are scored and evaluated in one job.
     """
-    base = ranking_metrics(score(df, model), label=label).select(F.col("roc_auc").alias("base_auc"))
+    keep = ["permuted", "repeat", quoted(label).cast("int").alias("y"), "p"]
+    plain = df.withColumn("permuted", F.lit(None).cast("string")).withColumn("repeat", F.lit(0))
     variants = permuted_variants(df, cols, ids, repeats, seed, block_rows)
-    auc = ranking_metrics(score(variants, model), ["permuted", "repeat"], label)
+    # Scores are written once: filters pushed below them would run the model again.
+    pred = materialize(score(plain, model).select(*keep).unionByName(score(variants, model).select(*keep)))
+    auc = ranking_metrics(pred, ["permuted", "repeat"])
+    base = auc.filter(F.col("permuted").isNull()).select("roc_auc")
     drop = base.scalar() - F.col("roc_auc")
-    return auc.withColumn("__drop", drop).groupBy(F.col("permuted").alias("feature")).agg(
+    return auc.filter(F.col("permuted").isNotNull()).withColumn("__drop", drop).groupBy(
+        F.col("permuted").alias("feature")).agg(
         F.avg("__drop").alias("importance_mean"), F.stddev_pop("__drop").alias("importance_std"))
 
 
@@ -164,7 +169,8 @@ def subset_evaluation(df: DataFrame, specs: Sequence[ModelSpec], sizes: Sequence
         def run() -> DataFrame:
             chosen = ranked[row["split"]][:k]
             part = base.filter(F.col("repeat") == row["repeat"])
-            model = fit(spec.with_features(chosen), part.filter(F.col("fold") != row["fold"]), label=label)
+            model = fit(spec.with_features(chosen), part.filter(F.col("fold") != row["fold"]), label=label,
+                        cache=False)
             held = score(part.filter(F.col("fold") == row["fold"]), model)
             return held.select(quoted(label).cast("int").alias("y"), "p", F.lit(spec.name).alias("model"),
                                F.lit(k).alias("subset_size"), "split", F.lit("|".join(chosen)).alias("features"))

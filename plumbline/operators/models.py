@@ -86,11 +86,18 @@ def _estimator(spec: ModelSpec, rows: int, seed: int):
     raise ValueError(f"unknown family {spec.family}")
 
 
-def fit(spec: ModelSpec, train: DataFrame, seed: int = 42, label: str = "y") -> PipelineModel:
-    """Fit preparation and classifier on labelled training rows."""
+def fit(spec: ModelSpec, train: DataFrame, seed: int = 42, label: str = "y",
+        cache: bool = True) -> PipelineModel:
+    """Fit preparation and classifier on labelled training rows.
+
+    Fitting reads the rows several times; ``cache`` keeps the needed columns meanwhile.
+    Switch it off where ``train`` is a filter over cached rows.
+    """
     require_columns(train, spec.features)
     rows = train.filter(quoted(label).isNotNull()).select(
         *[quoted(c) for c in spec.features], quoted(label).cast("double").alias("y"))
+    if cache:
+        rows = cached = rows.persist(StorageLevel.MEMORY_AND_DISK)
     sizes = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("p")).first()
     if spec.balanced:
         n, p = sizes["n"], sizes["p"]
@@ -99,6 +106,8 @@ def fit(spec: ModelSpec, train: DataFrame, seed: int = 42, label: str = "y") ->
         rows = rows.withColumn("__weight", weight)
     prep = fit_preprocessor(rows, spec.nums, spec.cats, spec.scaled)
     model = _estimator(spec, sizes["n"], seed).fit(prep.transform(rows))
+    if cache:
+        cached.unpersist()
     return PipelineModel(stages=[*prep.stages, model])
 
 
@@ -106,6 +115,7 @@ def score(df: DataFrame, model, threshold: float = 0.5, features: Sequence[str]
     """Append ``p``, ``threshold`` and ``flag``; works on batches and streams.
 
     A missing feature fails, unseen categories are scored, other columns pass through.
+    Write or checkpoint the result before measuring it: each metric reads it again.
     """
     if features is not None:
         require_columns(df, features)
@@ -133,7 +143,7 @@ def oof_pooled(df: DataFrame, specs: Sequence[ModelSpec], ids: Sequence[str], la
     ``df`` holds one row per (row, repeat) with ``repeat``, ``fold`` and ``split``. The
     prediction table is checkpointed: everything downstream reads it many times.
     """
-    fitter = fitter or (lambda s, d, k: fit(s, d, k, label))
+    fitter = fitter or (lambda s, d, k: fit(s, d, k, label, cache=False))
     base = df.persist(StorageLevel.MEMORY_AND_DISK)
     folds = base.select("repeat", "fold", "split").distinct().orderBy("split").collect()
 

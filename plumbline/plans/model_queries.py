@@ -15,6 +15,7 @@ from plumbline.operators import calibrate, features, importance, metrics, models
 from plumbline.plans import datasets as d
 from plumbline.plans.contract_queries import _scratch
 from plumbline.plans.registry import query
+from plumbline.session import materialize
 from plumbline.streaming import scoring
 
 Spark = SparkSession
@@ -42,7 +43,7 @@ def _folded(spark: Spark, sf: str, k: int = 3, seeds=(42,)) -> DataFrame:
 
 
 def _halves(spark: Spark, sf: str) -> tuple[DataFrame, DataFrame]:
-    marked = splits.stratified_holdout(_rows(spark, sf), "y", IDS, 0.2)
+    marked = splits.stratified_holdout(_rows(spark, sf), "y", IDS, 0.2).persist()
     return marked.filter(~F.col("is_holdout")), marked.filter("is_holdout")
 
 
@@ -211,7 +212,7 @@ def c3(spark: Spark, sf: str) -> DataFrame:
     model = calibrate.calibrated_cv(train, rf(), IDS, 3)
     both = models.score(test, model).select("y", "p", F.lit("sigmoid").alias("method")).unionByName(
         models.score(test, models.fit(rf(), train)).select("y", "p", F.lit("uncalibrated").alias("method")))
-    return metrics.split_performance(both, ["method"])
+    return metrics.split_performance(materialize(both), ["method"])
 
 
 @query("r6_validate_model_scores")

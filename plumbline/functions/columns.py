@@ -94,16 +94,18 @@ def attach_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
                     *[F.col(f"__scalars.`{c}`").alias(c) for c in one_row.columns]))
 
 
-def decision_tree_index(c: Column, edges: Sequence[float], inclusive: bool = True) -> Column:
-    """Number of sorted literal ``edges`` that are <= c (< c if not inclusive).
+def decision_tree_index(name: str, edges: Sequence[float], inclusive: bool = True) -> Column:
+    """Number of sorted literal ``edges`` that are <= the column (< if not inclusive).
 
     Written as a balanced CASE tree: log2(n) comparisons per row, all inside
     generated code, instead of joining each row with every edge.
     """
-    def build(lo: int, hi: int) -> Column:
+    op = ">=" if inclusive else ">"
+
+    def build(lo: int, hi: int) -> str:
         if lo == hi:
-            return F.lit(lo)
+            return str(lo)
         mid = (lo + hi) // 2
-        test = c >= F.lit(float(edges[mid])) if inclusive else c > F.lit(float(edges[mid]))
-        return F.when(test, build(mid + 1, hi)).otherwise(build(lo, mid))
-    return build(0, len(edges))
+        return (f"CASE WHEN `{name}` {op} {float(edges[mid])!r}D THEN {build(mid + 1, hi)} "
+                f"ELSE {build(lo, mid)} END")
+    return F.expr(build(0, len(edges)))

@@ -21,14 +21,14 @@ from plumbline.functions.columns import quoted
 RESOLUTION = 4096
 
 
-def value_bucket(c: Column, resolution: int = RESOLUTION) -> Column:
-    """Monotone bucket number of a double: floating-point exponent plus mantissa step."""
-    m = F.abs(c)
-    e = F.floor(F.log2(m))
-    step = F.floor((m / F.pow(F.lit(2.0), e.cast("double")) - 1.0) * F.lit(float(resolution)))
-    size = e * F.lit(resolution) + step + F.lit(1100 * resolution + 1)
-    size = F.when(m >= F.lit(1.0e308), F.lit(1 << 60)).otherwise(size)
-    return F.when(c == 0.0, F.lit(0)).when(c > 0.0, size).otherwise(-size).cast("long")
+def value_bucket(name: str, resolution: int = RESOLUTION) -> Column:
+    """Monotone bucket number of a double column: floating-point exponent plus mantissa step."""
+    v = f"double(`{name}`)"
+    e = f"floor(log2(abs({v})))"
+    step = f"floor((abs({v}) / power(2D, {e}) - 1D) * {resolution}D)"
+    size = (f"CASE WHEN abs({v}) >= 1e308D THEN {1 << 60}L "
+            f"ELSE {e} * {resolution} + {step} + {1100 * resolution + 1} END")
+    return F.expr(f"bigint(CASE WHEN {v} = 0D THEN 0 WHEN {v} > 0D THEN {size} ELSE -({size}) END)")
 
 
 def hash_bucket(c: Column) -> Column:
@@ -62,7 +62,7 @@ def running_totals(df: DataFrame, value: str, sums: dict[str, Column], keys: Seq
     """
     keys = list(keys)
     names = list(sums)
-    bucket = value_bucket(quoted(value)) if bucket is None else bucket
+    bucket = value_bucket(value) if bucket is None else bucket
     kept = df.filter(quoted(value).isNotNull()).select(
         *[quoted(k) for k in keys], quoted(value), bucket.alias("__bucket"),
         *[F.coalesce(e, F.lit(0)).cast("long").alias(s) for s, e in sums.items()])
@@ -85,12 +85,9 @@ def running_totals(df: DataFrame, value: str, sums: dict[str, Column], keys: Seq
 
 def _null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
     """Inner join in which null keys match each other, keeping the left key columns."""
-    renamed = right.select(*[quoted(c).alias(f"__r_{c}") if c in on else quoted(c)
-                             for c in right.columns])
-    cond = F.lit(True)
-    for c in on:
-        cond = cond & quoted(c).eqNullSafe(F.col(f"`__r_{c}`"))
-    return left.join(renamed, cond, "inner").drop(*[f"__r_{c}" for c in on])
+    renamed = right.withColumnsRenamed({c: f"__r_{c}" for c in on})
+    cond = " AND ".join(f"`{c}` <=> `__r_{c}`" for c in on)
+    return left.join(renamed, F.expr(cond), "inner").drop(*[f"__r_{c}" for c in on])
 
 
 def order_statistics(df: DataFrame, value: str, ranks: Column, keys: Sequence[str] = (),
@@ -103,7 +100,7 @@ def order_statistics(df: DataFrame, value: str, ranks: Column, keys: Sequence[st
     """
     keys = list(keys)
     kcols = [quoted(k) for k in keys]
-    bucket = value_bucket(quoted(value)) if bucket is None else bucket
+    bucket = value_bucket(value) if bucket is None else bucket
     kept = df.filter(quoted(value).isNotNull()).select(
         *kcols, quoted(value), bucket.alias("__bucket"))
     counts = kept.groupBy(*kcols, "__bucket").agg(F.count(F.lit(1)).alias("__size"))
@@ -138,21 +135,19 @@ def quantiles(df: DataFrame, value: str, probs: Sequence[float], keys: Sequence[
     keys = list(keys)
     kcols = [quoted(k) for k in keys]
 
-    def position(p: float) -> Column:
-        return (F.col("n") - 1) * F.lit(float(p))
-
-    ranks = F.array(*[f(position(p)).cast("long") for p in probs for f in (F.floor, F.ceil)])
+    ranks = F.expr("array(" + ", ".join(
+        f"bigint({f}((n - 1) * {float(p)!r}D))" for p in probs for f in ("floor", "ceil")) + ")")
     stats = order_statistics(df, value, ranks, keys)
     by_rank = stats.groupBy(*kcols, "n").agg(
         F.map_from_entries(F.collect_list(F.struct("rank", quoted(value)))).alias("__at"))
 
-    def interpolate(p: float) -> Column:
-        h = position(p)
-        lo = F.element_at("__at", F.floor(h).cast("long"))
-        hi = F.element_at("__at", F.ceil(h).cast("long"))
-        return lo + (hi - lo) * (h - F.floor(h))
+    def interpolate(p: float) -> str:
+        h = f"((n - 1) * {float(p)!r}D)"
+        lo = f"element_at(__at, bigint(floor({h})))"
+        hi = f"element_at(__at, bigint(ceil({h})))"
+        return f"{lo} + ({hi} - {lo}) * ({h} - floor({h}))"
 
-    return by_rank.select(*kcols, "n", F.array(*[interpolate(p) for p in probs]).alias("q"))
+    return by_rank.select(*kcols, "n", F.expr(f"array({', '.join(interpolate(p) for p in probs)})").alias("q"))
 
 
 def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],

@@ -45,22 +45,27 @@ def scored(pred: DataFrame, keys: Sequence[str] = (), label: str = "y", score: s
                        number(score).alias("p")).filter(F.col("y").isNotNull() & F.col("p").isNotNull())
 
 
+_RATES = {
+    "precision": "coalesce(try_divide(double(tp), tp + fp), 0D)",
+    "recall": "coalesce(try_divide(double(tp), tp + fn), 0D)",
+    "f1": "coalesce(try_divide(double(2 * tp), 2 * tp + fp + fn), 0D)",
+    "specificity": "coalesce(try_divide(double(tn), tn + fp), 0D)",
+    # With only one class present, balanced accuracy is the recall of that class.
+    "balanced_accuracy": "CASE WHEN tp + fn = 0 THEN coalesce(try_divide(double(tn), tn + fp), 0D) "
+                         "WHEN tn + fp = 0 THEN double(tp) / (tp + fn) "
+                         "ELSE (double(tp) / (tp + fn) + double(tn) / (tn + fp)) / 2 END",
+    "accuracy": "coalesce(try_divide(double(tp + tn), tp + fp + tn + fn), 0D)",
+    "false_positive_rate": "coalesce(try_divide(double(fp), fp + tn), 0D)",
+    "false_negative_rate": "coalesce(try_divide(double(fn), fn + tp), 0D)",
+    "predicted_positive_rate": "coalesce(try_divide(double(tp + fp), tp + fp + tn + fn), 0D)",
+    "predicted_positive_percent": "coalesce(try_divide(double(tp + fp), tp + fp + tn + fn), 0D) * 100",
+    "flagged_per_1000": "coalesce(try_divide(double(tp + fp), tp + fp + tn + fn), 0D) * 1000",
+}
+
+
 def with_rates(df: DataFrame) -> DataFrame:
     """Add the usual rates to columns tp, fp, tn, fn; zero where undefined."""
-    tp, fp, tn, fn = (F.col(c) for c in ("tp", "fp", "tn", "fn"))
-    n = tp + fp + tn + fn
-    recall, specificity = ratio(tp, tp + fn, 0.0), ratio(tn, tn + fp, 0.0)
-    # With only one class present, balanced accuracy is the recall of that class.
-    balanced = (F.when(tp + fn == 0, specificity).when(tn + fp == 0, recall)
-                .otherwise((recall + specificity) / 2))
-    rate = ratio(tp + fp, n, 0.0)
-    return df.withColumns({
-        "precision": ratio(tp, tp + fp, 0.0), "recall": recall,
-        "f1": ratio(2 * tp, 2 * tp + fp + fn, 0.0), "specificity": specificity,
-        "balanced_accuracy": balanced, "accuracy": ratio(tp + tn, n, 0.0),
-        "false_positive_rate": ratio(fp, fp + tn, 0.0), "false_negative_rate": ratio(fn, fn + tp, 0.0),
-        "predicted_positive_rate": rate, "predicted_positive_percent": rate * 100,
-        "flagged_per_1000": rate * 1000})
+    return df.selectExpr("*", *[f"{e} AS {name}" for name, e in _RATES.items()])
 
 
 def confusion(pred: DataFrame, threshold: float, keys: Sequence[str] = (), label: str = "y",
@@ -90,25 +95,21 @@ def threshold_sweep(pred: DataFrame, grid: Sequence[float], keys: Sequence[str]
     """
     grid = sorted(float(t) for t in grid)
     counts = scored(pred, keys, label, score).groupBy(
-        *keys, decision_tree_index(F.col("p"), grid).alias("__i")).agg(
+        *keys, decision_tree_index("p", grid).alias("__i")).agg(
         F.sum("y").alias("pos"), F.count(F.lit(1)).alias("n"))
-    cells = counts.groupBy(*keys).agg(F.collect_list(F.struct("__i", "pos", "n")).alias("__c"),
-                                      F.sum("pos").alias("__pos"), F.sum("n").alias("__n"))
-    steps = F.array(*[F.struct(F.lit(i + 1).alias("i"), F.lit(t).alias("threshold"))
-                      for i, t in enumerate(grid)])
+    # Per key at most len(grid) + 1 cells are collected.
+    cells = counts.groupBy(*keys).agg(F.expr("collect_list(struct(__i, pos, n)) AS __c"),
+                                      F.expr("sum(pos) AS __pos"), F.expr("sum(n) AS __n"))
+    steps = ", ".join(f"struct({i + 1} AS i, {t!r}D AS threshold)" for i, t in enumerate(grid))
 
-    def above(field: str) -> Column:
-        picked = F.filter("__c", lambda c: c["__i"] >= F.col("__s.i"))
-        return F.aggregate(picked, F.lit(0).cast("long"), lambda acc, c: acc + c[field])
+    def above(field: str) -> str:
+        return f"aggregate(filter(__c, c -> c.__i >= __s.i), 0L, (acc, c) -> acc + c.{field})"
 
-    # Per key at most len(grid) + 1 cells were collected.
-    out = cells.select("*", F.explode(steps).alias("__s")).withColumn("tp", above("pos")).withColumn(
-        "__hits", above("n"))
-    return with_rates(out.select(
-        *keys, F.col("__s.threshold").alias("threshold"), "tp",
-        (F.col("__hits") - F.col("tp")).alias("fp"),
-        (F.col("__n") - F.col("__pos") - F.col("__hits") + F.col("tp")).alias("tn"),
-        (F.col("__pos") - F.col("tp")).alias("fn")))
+    named = [f"`{k}`" for k in keys]
+    out = (cells.selectExpr("*", f"explode(array({steps})) AS __s")
+           .selectExpr(*named, "__s.threshold AS threshold", "__pos", "__n", f"{above('pos')} AS tp", f"{above('n')} AS __hits")
+           .selectExpr(*named, "threshold", "tp", "__hits - tp AS fp", "__n - __pos - __hits + tp AS tn", "__pos - tp AS fn"))
+    return with_rates(out)
 
 
 def _steps(pred: DataFrame, keys: Sequence[str], label: str, score: str) -> DataFrame:
@@ -172,7 +173,7 @@ def _bin_counts(pred: DataFrame, edges: Sequence[float], keys: Sequence[str], la
     inner = list(edges[1:-1])
     rows = scored(pred, keys, label, score).filter(
         (F.col("p") >= F.lit(float(edges[0]))) & (F.col("p") <= F.lit(float(edges[-1]))))
-    return rows.groupBy(*keys, decision_tree_index(F.col("p"), inner).alias("__bin")).agg(
+    return rows.groupBy(*keys, decision_tree_index("p", inner).alias("__bin")).agg(
         F.count(F.lit(1)).alias("count"), F.avg("p").alias("mean_p"), F.avg("y").alias("rate"))
 
 

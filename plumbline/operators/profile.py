@@ -383,7 +383,7 @@ def score_histogram(pred: DataFrame, label: str = "y", score: str = "p", bins: i
     """Equal-width counts of scores in [0, 1] per class."""
     edges = [i / bins for i in range(1, bins)]
     return pred.groupBy(quoted(label).cast("int").alias("y"),
-                        decision_tree_index(quoted(score), edges).alias("bin")).agg(
+                        decision_tree_index(score, edges).alias("bin")).agg(
         F.count(F.lit(1)).alias("count"))
 
 

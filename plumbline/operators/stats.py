@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.columns import (
     attach_scalars, melt, number, per_column, quoted, ratio, value_counts,
 )
-from plumbline.functions.ordered import column_quantiles, running_totals
+from plumbline.functions.ordered import running_totals
 from plumbline.functions.tails import chi2_pvalue, kolmogorov_pvalue, normal_pvalue, t_pvalue
 from plumbline.operators.profile import bin_index, quantile_edges, rate_by_category
 
@@ -179,17 +179,17 @@ def ks_two_sample(a: DataFrame, b: DataFrame, nums: Sequence[str]) -> DataFrame:
     long = _sides(a, b, nums, True).filter(F.col("value").isNotNull())
     steps = running_totals(long, "value", {"a": (F.col("side") == 0).cast("int"),
                                            "b": (F.col("side") == 1).cast("int")}, ["feature"])
-    fa = ratio(F.col("a_before") + F.col("a"), F.col("a_total"))
-    fb = ratio(F.col("b_before") + F.col("b"), F.col("b_total"))
+    # Distances and both medians come out of the same cumulative counts.
+    at = ("max(CASE WHEN {s}_before <= {r} AND {r} < {s}_before + {s} THEN value END)")
+    median = " + ".join(at.format(s="{s}", r=f"{f}(({{s}}_total - 1) / 2)") for f in ("floor", "ceil"))
     d = steps.groupBy("feature").agg(
-        F.max(F.abs(fa - fb)).alias("ks_statistic"), F.max("a_total").alias("n_a"),
-        F.max("b_total").alias("n_b"))
+        F.expr("max(abs(try_divide(double(a_before + a), a_total) - try_divide(double(b_before + b), b_total))) AS ks_statistic"),
+        F.expr("max(a_total) AS n_a"), F.expr("max(b_total) AS n_b"),
+        *[F.expr(f"({median.format(s=s)}) / 2 AS median_{s}") for s in ("a", "b")])
     out = None
     for side, df in (("a", a), ("b", b)):
         m = per_column(df, nums, lambda c: {f"mean_{side}": F.avg(number(c)),
                                             f"std_{side}": F.stddev_pop(number(c))})
-        q = column_quantiles(df, nums, [0.5]).select("feature", F.col("q")[0].alias(f"median_{side}"))
-        m = m.join(q, "feature", "left")
         out = m if out is None else out.join(m, "feature")
     en = F.sqrt(F.col("n_a") * F.col("n_b") / (F.col("n_a") + F.col("n_b")))
     return d.join(out, "feature").select(

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -15,14 +14,14 @@ DIGITS = 6
 
 def _tidy(df: DataFrame, digits: int) -> DataFrame:
     """Round doubles and widen integers, so both engines print values alike."""
-    def fix(f: T.StructField):
-        c = F.col(f"`{f.name}`")
+    def fix(f: T.StructField) -> str:
+        c = f"`{f.name}`"
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            return (F.round(c.cast("double"), digits) + F.lit(0.0)).alias(f.name)
+            return f"round(double({c}), {digits}) + 0.0D AS {c}"
         if isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
-            return c.cast("long").alias(f.name)
-        return c.alias(f.name)
-    return df.select(*[fix(f) for f in df.schema.fields])
+            return f"bigint({c}) AS {c}"
+        return c
+    return df.selectExpr(*[fix(f) for f in df.schema.fields])
 
 
 def query(name: str, sql: str | None = None, doubles: str = "", longs: str = "", digits: int = DIGITS):

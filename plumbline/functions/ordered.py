@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import quoted
+from plumbline.session import small_side
 
 #: Buckets per power of two; raise it for values packed into a narrow range.
 RESOLUTION = 4096
@@ -36,21 +37,6 @@ def hash_bucket(c: Column) -> Column:
     return F.shiftright(c, 54).cast("long")
 
 
-def _bucket_offsets(buckets: DataFrame, sums: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    """Exclusive running totals and grand totals per key over the bucket table.
-
-    The bucket table holds at most (octaves * resolution) rows per key.
-    """
-    order = Window.partitionBy(*[quoted(k) for k in keys], F.lit(0)).orderBy("__bucket")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*[quoted(k) for k in keys], F.lit(0))
-    return buckets.select(
-        *[quoted(k) for k in keys], "__bucket",
-        *[F.coalesce(F.sum(s).over(before), F.lit(0)).alias(f"__{s}_offset") for s in sums],
-        *[F.sum(s).over(whole).alias(f"{s}_total") for s in sums],
-    )
-
-
 def running_totals(df: DataFrame, value: str, sums: dict[str, Column], keys: Sequence[str] = (),
                    bucket: Column | None = None) -> DataFrame:
     """One row per (keys, value), in value order, with exact cumulative sums.
@@ -70,17 +56,24 @@ def running_totals(df: DataFrame, value: str, sums: dict[str, Column], keys: Seq
         *[F.sum(s).alias(s) for s in names])
     per_bucket = per_value.groupBy(*[quoted(k) for k in keys], "__bucket").agg(
         *[F.sum(s).alias(s) for s in names])
-    offsets = _bucket_offsets(per_bucket, names, keys)
-    inside = (Window.partitionBy(*[quoted(k) for k in keys], "__bucket").orderBy(quoted(value))
+    # One row per bucket (at most octaves * resolution per key) carries what lies before
+    # it. It enters the window as the first row of its bucket, so no join is needed.
+    group = Window.partitionBy(*[quoted(k) for k in keys], F.lit(0))
+    before = group.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    heads = per_bucket.select(
+        *[quoted(k) for k in keys], F.lit(None).cast(kept.schema[value].dataType).alias(value), "__bucket",
+        *[F.coalesce(F.sum(s).over(before), F.lit(0)).alias(s) for s in names],
+        *[F.sum(s).over(group).alias(f"{s}_total") for s in names], F.lit(0).alias("__kind"))
+    rows = per_value.select(
+        *[quoted(k) for k in keys], quoted(value), "__bucket", *names,
+        *[F.lit(None).cast("long").alias(f"{s}_total") for s in names], F.lit(1).alias("__kind"))
+    inside = (Window.partitionBy(*[quoted(k) for k in keys], "__bucket").orderBy("__kind", quoted(value))
               .rowsBetween(Window.unboundedPreceding, -1))
-    ranked = per_value.select(
-        "*", *[F.coalesce(F.sum(s).over(inside), F.lit(0)).alias(f"__{s}_inside") for s in names])
-    joined = _null_safe_join(ranked, offsets, [*keys, "__bucket"])
-    return joined.select(
-        *[quoted(k) for k in keys], quoted(value), *names,
-        *[(F.col(f"__{s}_inside") + F.col(f"__{s}_offset")).alias(f"{s}_before") for s in names],
-        *[F.col(f"{s}_total") for s in names],
-    )
+    return heads.unionByName(rows).select(
+        *[quoted(k) for k in keys], quoted(value), "__kind", *names,
+        *[F.sum(s).over(inside).alias(f"{s}_before") for s in names],
+        *[F.first(f"{s}_total", ignorenulls=True).over(inside).alias(f"{s}_total") for s in names],
+    ).filter("__kind = 1").drop("__kind")
 
 
 def _null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -113,6 +106,9 @@ def order_statistics(df: DataFrame, value: str, ranks: Column, keys: Sequence[st
     here = F.filter(F.array_distinct(ranks), lambda r: (r >= F.col("__start"))
                     & (r < F.col("__start") + F.col("__size")))
     targets = placed.withColumn("__ranks", here).filter(F.size("__ranks") > 0).drop("__size")
+    # Per key there are as many targets as wanted ranks. With features as the only key
+    # that is a handful; for keys taken from the data the size is checked.
+    targets = F.broadcast(targets) if set(keys) <= {"feature"} else small_side(targets)
     hits = _null_safe_join(kept, targets, [*keys, "__bucket"])
     per_value = hits.groupBy(*kcols, "__bucket", "n", "__start", "__ranks", quoted(value)).agg(
         F.count(F.lit(1)).alias("__size"))

@@ -291,16 +291,16 @@ SELECTION_RULES: dict[str, tuple[str | None, tuple[str, ...]]] = {
 def select_threshold(sweep: DataFrame, rules: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """The chosen sweep row per rule (and key); a rule nothing satisfies yields no row."""
     cols = sweep.columns
-    out = None
+    picks = []
     for rule in rules:
         condition, order = SELECTION_RULES[rule]
-        rows = sweep.filter(condition) if condition else sweep
-        rows = rows.withColumn("distance", F.abs(F.col("threshold") - F.lit(0.5)))
+        ok = F.expr(condition or "true")
         sort = F.struct(*[-F.col(o[1:]) if o[0] == "-" else F.col(o) for o in order])
-        best = rows.groupBy(*keys).agg(F.min_by(F.struct(*cols), sort).alias("b"))
-        best = best.filter(F.col("b").isNotNull()).select(F.lit(rule).alias("rule"), "b.*")
-        out = best if out is None else out.unionByName(best)
-    return out
+        best = F.min_by(F.struct(*cols), F.when(ok, sort))
+        picks.append(F.struct(F.lit(rule).alias("rule"), best.alias("row")))
+    rows = sweep.withColumn("distance", F.abs(F.col("threshold") - F.lit(0.5)))
+    chosen = rows.groupBy(*keys).agg(F.array(*picks).alias("__picks")).select(F.inline("__picks"))
+    return chosen.filter(F.col("row").isNotNull()).select("rule", "row.*")
 
 
 def compare_operating_points(a: DataFrame, threshold_a: float, b: DataFrame, threshold_b: float,

@@ -12,6 +12,7 @@ from plumbline.functions.columns import (
     per_column, quoted, ratio, value_counts,
 )
 from plumbline.functions.ordered import column_quantiles
+from plumbline.session import small_side
 
 
 def _row_counts(df: DataFrame) -> DataFrame:
@@ -193,6 +194,8 @@ def rate_by_category(df: DataFrame, cats: Sequence[str], y: str, keys: Sequence[
     counts = value_counts(df.filter(quoted(y).isNotNull()), cats, keys, {"positives": label})
     totals = counts.groupBy(*[quoted(k) for k in keys], "feature").agg(
         ratio(F.sum("positives"), F.sum("count")).alias("overall"))
+    # Without keys: one row per feature.
+    totals = small_side(totals) if keys else F.broadcast(totals)
     rate = ratio(F.col("positives"), F.col("count"))
     return counts.join(totals, [*keys, "feature"]).select(
         *[quoted(k) for k in keys], "feature", F.col("value").alias("category"),
@@ -371,7 +374,8 @@ def box_summary(df: DataFrame, nums: Sequence[str], target: str) -> DataFrame:
     v = F.col("value")
     inside = (v >= F.col("lo_fence")) & (v <= F.col("hi_fence"))
     long = melt(keyed, nums, [quoted(target)], as_number=True).filter(v.isNotNull())
-    whisk = (long.join(fences.select(target, "feature", "lo_fence", "hi_fence"), [target, "feature"])
+    bounds = small_side(fences.select(target, "feature", "lo_fence", "hi_fence"))
+    whisk = (long.join(bounds, [target, "feature"])
              .groupBy(quoted(target), "feature")
              .agg(F.min(F.when(inside, v)).alias("whisker_low"),
                   F.max(F.when(inside, v)).alias("whisker_high"),

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.columns import quoted
 from plumbline.functions.ordered import hash_bucket, order_statistics
+from plumbline.session import small_side
 
 _LOWEST = -(2 ** 63)
 
@@ -35,7 +36,8 @@ def portable_position(ids: Sequence[str], seed: int | Column) -> Column:
 
 def _with_bounds(df: DataFrame, y: str, ranks: list[Column], keys: Sequence[str]) -> DataFrame:
     """Add array ``__bounds``: per wanted rank of the class the position found there,
-    the lowest possible position where the rank is negative."""
+    the lowest possible position where the rank is negative. Rows without a label are
+    left out."""
     on = [*keys, "__class"]
     base = df.withColumn("__class", quoted(y).cast("string"))
     found = order_statistics(base.filter(F.col("__class").isNotNull()), "__pos", F.array(*ranks), on,
@@ -43,7 +45,7 @@ def _with_bounds(df: DataFrame, y: str, ranks: list[Column], keys: Sequence[str]
     by_rank = found.groupBy(*on, "n").agg(
         F.map_from_entries(F.collect_list(F.struct("rank", "__pos"))).alias("__at"))
     bounds = F.array(*[F.when(r < 0, F.lit(_LOWEST)).otherwise(F.try_element_at("__at", r)) for r in ranks])
-    return base.join(by_rank.select(*on, bounds.alias("__bounds")), on).drop("__class")
+    return base.join(small_side(by_rank.select(*on, bounds.alias("__bounds"))), on).drop("__class")
 
 
 def stratified_holdout(df: DataFrame, y: str, ids: Sequence[str], frac: float = 0.2, seed: int = 42,

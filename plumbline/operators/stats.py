@@ -13,6 +13,7 @@ from plumbline.functions.columns import (
 from plumbline.functions.ordered import running_totals
 from plumbline.functions.tails import chi2_pvalue, kolmogorov_pvalue, normal_pvalue, t_pvalue
 from plumbline.operators.profile import bin_index, quantile_edges, rate_by_category
+from plumbline.session import materialize, small_side
 
 
 def point_biserial(df: DataFrame, nums: Sequence[str], y: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -120,14 +121,14 @@ def chi_square_cramers_v(df: DataFrame, cats: Sequence[str], y: str, yates: bool
     cells = (melt(known, cats, [*[quoted(k) for k in keys], quoted(y).cast("string").alias("y")])
              .filter(F.col("value").isNotNull())
              .groupBy(*keys, "feature", "value", "y").agg(F.count(F.lit(1)).alias("o")))
+    cells = materialize(cells)  # the data are read once; all else works on the counts
     rows = cells.groupBy(*keys, "feature", "value").agg(F.sum("o").alias("r"))
     cols = cells.groupBy(*keys, "feature", "y").agg(F.sum("o").alias("c"))
     row_stats = rows.groupBy(*keys, "feature").agg(
         F.sum("r").alias("n"), F.count(F.lit(1)).alias("n_rows"))
     col_stats = cols.groupBy(*keys, "feature").agg(F.count(F.lit(1)).alias("n_cols"))
-    shape = row_stats.join(col_stats, [*keys, "feature"])
-    full = (cells.join(rows, [*keys, "feature", "value"]).join(cols, [*keys, "feature", "y"])
-            .join(shape, [*keys, "feature"]))
+    shape = small_side(cols.join(row_stats.join(col_stats, [*keys, "feature"]), [*keys, "feature"]))
+    full = cells.join(rows, [*keys, "feature", "value"]).join(shape, [*keys, "feature", "y"])
     e = F.col("r") * F.col("c") / F.col("n")
     diff = F.abs(F.col("o") - e)
     two_by_two = (F.col("n_rows") == 2) & (F.col("n_cols") == 2)
@@ -268,12 +269,12 @@ def mutual_information(df: DataFrame, cats: Sequence[str], nums: Sequence[str],
         parts.append(long.join(F.broadcast(edges), "feature").select(  # one row per feature
             "feature", "y", bin_index(F.col("value"), F.col("edges")).cast("string").alias("value")))
     rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    cells = rows.groupBy("feature", "value", "y").agg(F.count(F.lit(1)).alias("o"))
+    cells = materialize(rows.groupBy("feature", "value", "y").agg(F.count(F.lit(1)).alias("o")))
     r = cells.groupBy("feature", "value").agg(F.sum("o").alias("r"))
     c = cells.groupBy("feature", "y").agg(F.sum("o").alias("c"))
     n = cells.groupBy("feature").agg(F.sum("o").alias("n"))
     o = F.col("o") / F.col("n")
-    full = cells.join(r, ["feature", "value"]).join(c, ["feature", "y"]).join(n, "feature")
+    full = cells.join(r, ["feature", "value"]).join(small_side(c.join(n, "feature")), ["feature", "y"])
     return full.groupBy("feature").agg(F.greatest(F.lit(0.0), F.sum(
         o * F.log(F.col("o") * F.col("n") / (F.col("r").cast("double") * F.col("c"))))
     ).alias("mutual_information"))

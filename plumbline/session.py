@@ -5,6 +5,10 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Largest table that is broadcast; beyond it joins shuffle both sides.
+BROADCAST_ROWS = 500_000
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -23,3 +27,14 @@ def materialize(df: DataFrame) -> DataFrame:
                       else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """A join side that is usually tiny but whose size depends on the data.
+
+    It is computed once and counted; only up to ``limit`` rows it is marked for
+    broadcast, otherwise the join shuffles as usual. Without this the planner cannot
+    know the size and would shuffle the large side too.
+    """
+    kept = materialize(df)
+    return F.broadcast(kept) if kept.limit(limit + 1).count() <= limit else kept

@@ -35,6 +35,15 @@ def ratio(a: Column, b: Column, default: float | None = None) -> Column:
     return q if default is None else F.coalesce(q, F.lit(float(default)))
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson correlation over pairs known on both sides; null where a side is constant.
+
+    (The built-in raises on zero variance under ANSI arithmetic.)
+    """
+    a, b = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    return ratio(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def numeric_columns(df: DataFrame, exclude: Iterable[str] = ()) -> list[str]:
     skip = set(exclude)
     return [f.name for f in df.schema.fields

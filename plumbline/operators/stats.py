@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import (
-    attach_scalars, melt, number, per_column, quoted, ratio, value_counts,
+    attach_scalars, correlation, melt, number, per_column, quoted, ratio, value_counts,
 )
 from plumbline.functions.ordered import running_totals
 from plumbline.functions.tails import chi2_pvalue, kolmogorov_pvalue, normal_pvalue, t_pvalue
@@ -28,7 +28,7 @@ def point_biserial(df: DataFrame, nums: Sequence[str], y: str, keys: Sequence[st
         pair_y = F.when(x.isNotNull(), label)
         return {"n": F.count(x), "mean_0": F.avg(F.when(label == 0, x)),
                 "mean_1": F.avg(F.when(label == 1, x)), "__lo": F.min(x), "__hi": F.max(x),
-                "__ylo": F.min(pair_y), "__yhi": F.max(pair_y), "__r": F.corr(x, pair_y)}
+                "__ylo": F.min(pair_y), "__yhi": F.max(pair_y), "__r": correlation(x, pair_y)}
 
     base = per_column(df, nums, stats, keys)
     flat = (F.col("__lo") == F.col("__hi")) | (F.col("__ylo") == F.col("__yhi"))
@@ -245,7 +245,7 @@ def redundancy(df: DataFrame, nums: Sequence[str]) -> DataFrame:
     """Pearson correlation of every pair of numbers from one scan, with a level."""
     pairs = [(a, b) for i, a in enumerate(nums) for b in nums[i + 1:]]
     structs = [F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"),
-                        F.corr(number(a), number(b)).alias("correlation")) for a, b in pairs]
+                        correlation(number(a), number(b)).alias("correlation")) for a, b in pairs]
     r = F.col("abs_correlation")
     level = (F.when(r >= 0.9, "very_high").when(r >= 0.8, "high").when(r >= 0.7, "moderate")
              .otherwise("low"))

@@ -104,7 +104,7 @@ SIDES = OC + f""", early AS (SELECT * FROM oc WHERE placed < TIMESTAMP '{CUTOFF}
 
 def early_late(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     oc = orders_customers(spark, sf_dir)
-    cut = F.lit(f"{CUTOFF} 00:00:00").cast("timestamp")
+    cut = F.lit(f"{CUTOFF} 00:00:00").cast("timestamp_ntz")
     return oc.filter(F.col("placed") < cut), oc.filter(F.col("placed") >= cut)
 
 

@@ -240,9 +240,10 @@ def j9(spark: Spark, sf: str) -> DataFrame:
 
 
 @query("j9_first_row_per_customer", f"""WITH {d.OC}, r AS (SELECT cust, placed, id, price, row_number() OVER (PARTITION BY cust ORDER BY placed, id) AS k FROM oc)
-SELECT cust, placed, id, price FROM r WHERE k = 1""", doubles="price", longs="cust id")
+SELECT cust, strftime(placed, '%Y-%m-%d %H:%M:%S') AS placed, id, price FROM r WHERE k = 1""", doubles="price", longs="cust id")
 def j9b(spark: Spark, sf: str) -> DataFrame:
-    return compare.distinct_rows(d.orders_customers(spark, sf).select("cust", "placed", "id", "price"), ["cust"], ["placed", "id"])
+    first = compare.distinct_rows(d.orders_customers(spark, sf).select("cust", "placed", "id", "price"), ["cust"], ["placed", "id"])
+    return first.withColumn("placed", F.date_format("placed", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query("j11_align_predictions", f"""WITH {d.METHODS}

@@ -18,10 +18,10 @@ from plumbline.functions.ordered import quantiles, running_totals
 
 # Cost scenarios (false positive cost, false negative cost).
 COST_SCENARIOS = {
-    "balanced": (1.0, 1.0),
-    "moderate_fn_cost": (1.0, 2.0),
-    "high_fn_cost": (1.0, 5.0),
-    "very_high_fn_cost": (1.0, 10.0),
+    "balanced_1_to_1": (1.0, 1.0),
+    "moderate_detection_2_to_1": (1.0, 2.0),
+    "high_detection_5_to_1": (1.0, 5.0),
+    "very_high_detection_10_to_1": (1.0, 10.0),
 }
 # Probability bands [lower, upper).
 PROBABILITY_BANDS = ((0.00, 0.10), (0.10, 0.15), (0.15, 0.20), (0.20, 0.25),

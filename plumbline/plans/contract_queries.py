@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,18 +11,15 @@ from plumbline.functions.columns import number
 from plumbline.operators import contract, profile, text
 from plumbline.plans import datasets as d
 from plumbline.plans.registry import query
+from plumbline.session import work_folder
 from plumbline.sources import fingerprint, readers, writers
 
 Spark = SparkSession
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A folder for round-trip queries: inside the cluster's shared checkpoint folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder or folder.startswith("/tmp"):
-        return tempfile.mkdtemp(prefix="plumbline-")
-    import uuid
-    return f"{folder.rstrip('/')}/plumbline-{uuid.uuid4().hex}"
+    """A new folder for round-trip queries inside the shared work folder."""
+    return f"{work_folder(spark)}/plumbline-{uuid.uuid4().hex}"
 
 
 # --- S: sources and sinks --------------------------------------------------------------------

@@ -422,10 +422,10 @@ def c4(spark: Spark, sf: str) -> DataFrame:
 
 
 RULES = [
-    ("precision", "lt", 0.40, "Precision remains below 0.40 at the operating point."),
-    ("predicted_positive_percent", "gt", 50.0, "The operating point flags more than half of the rows."),
-    ("recall", "ge", 0.70, "The operating point prioritizes detection."),
-    ("specificity", "lt", 0.60, "Specificity remains below 0.60."),
+    ("precision", "lt", 0.40, "Fewer than 40 percent of the flags are right."),
+    ("predicted_positive_percent", "gt", 50.0, "Most rows are flagged."),
+    ("recall", "ge", 0.70, "Detection comes first here."),
+    ("specificity", "lt", 0.60, "Many negatives are flagged."),
     ("roc_auc", "between", (0.60, 0.70), "Ranking quality is moderate."),
     ("expected_calibration_error", "ge", 0.10, "Probabilities are poorly calibrated."),
 ]

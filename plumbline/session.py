@@ -11,21 +11,26 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder the cluster names.
+def work_folder(spark: SparkSession) -> str:
+    """The shared folder the session names in ``spark.checkpoint.dir``.
 
-    ``spark.checkpoint.dir`` is taken from the session. Only where it is unset a
-    folder is chosen: next to the warehouse on a cluster, temporary in local mode.
+    Only where that is unset a folder is chosen: next to the warehouse on a cluster,
+    temporary in local mode.
     """
-    spark: SparkSession = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if spark.sparkContext.master.startswith("local"):
+        return tempfile.mkdtemp(prefix="plumbline-")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the work folder."""
+    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            local = sc.master.startswith("local")
-            folder = (tempfile.mkdtemp(prefix="plumbline-checkpoint-") if local
-                      else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(work_folder(spark))
     return df.checkpoint(eager=True)
 
 

@@ -105,7 +105,7 @@ def test_costs(scores):
     for s, (a, b) in metrics.COST_SCENARIOS.items():
         cost, t = min((r.fp * a + r.fn * b, r.threshold) for r in rows)
         assert (best[s].total_cost, best[s].threshold) == (cost, t)
-    assert best["balanced"].threshold_varies == (len({r.threshold for r in best.values()}) > 1)
+    assert best["balanced_1_to_1"].threshold_varies == (len({r.threshold for r in best.values()}) > 1)
 
 
 def test_model_comparison(scores):

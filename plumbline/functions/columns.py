@@ -77,6 +77,10 @@ def melt(df: DataFrame, cols: Sequence[str], keep: Sequence[str | Column] = (),
     """Long form ``(keep…, feature, value)``: numbers as double, all else as string."""
     def cast(c: str) -> Column:
         return number(c) if as_number else quoted(c).cast("string")
+    kept = df.select(*keep).columns
+    if not set(kept) & {*cols, "feature", "value"}:
+        wide = df.select(*keep, *[cast(c).alias(c) for c in cols])
+        return wide.unpivot([quoted(k) for k in kept], [quoted(c) for c in cols], "feature", "value")
     pairs = F.array(*[F.struct(F.lit(c).alias("feature"), cast(c).alias("value")) for c in cols])
     return df.select(*keep, F.inline(pairs))
 

@@ -22,14 +22,19 @@ from plumbline.session import small_side
 RESOLUTION = 4096
 
 
-def value_bucket(name: str, resolution: int = RESOLUTION) -> Column:
-    """Monotone bucket number of a double column: floating-point exponent plus mantissa step."""
+def with_value_bucket(df: DataFrame, name: str, out: str = "__bucket", resolution: int = RESOLUTION) -> DataFrame:
+    """Add the monotone bucket number of a double column: exponent plus mantissa step.
+
+    The exponent is a projection of its own, so its logarithm is taken once per row.
+    """
     v = f"double(`{name}`)"
-    e = f"floor(log2(abs({v})))"
-    step = f"floor((abs({v}) / power(2D, {e}) - 1D) * {resolution}D)"
-    size = (f"CASE WHEN abs({v}) >= 1e308D THEN {1 << 60}L "
-            f"ELSE {e} * {resolution} + {step} + {1100 * resolution + 1} END")
-    return F.expr(f"bigint(CASE WHEN {v} = 0D THEN 0 WHEN {v} > 0D THEN {size} ELSE -({size}) END)")
+    step = f"floor((abs({v}) / power(2D, __exponent) - 1D) * {resolution}D)"
+    size = (f"(CASE WHEN abs({v}) >= 1e308D THEN {1 << 60}L "
+            f"ELSE __exponent * {resolution} + {step} + {1100 * resolution + 1} END)")
+    sign = f"CASE WHEN {v} > 0D THEN 1 ELSE -1 END"
+    return (df.withColumn("__exponent", F.expr(f"floor(log2(abs({v})))"))
+            .withColumn(out, F.expr(f"bigint(CASE WHEN {v} = 0D THEN 0 ELSE {size} * {sign} END)"))
+            .drop("__exponent"))
 
 
 def hash_bucket(c: Column) -> Column:
@@ -48,10 +53,11 @@ def running_totals(df: DataFrame, value: str, sums: dict[str, Column], keys: Seq
     """
     keys = list(keys)
     names = list(sums)
-    bucket = value_bucket(value) if bucket is None else bucket
     kept = df.filter(quoted(value).isNotNull()).select(
-        *[quoted(k) for k in keys], quoted(value), bucket.alias("__bucket"),
+        *[quoted(k) for k in keys], quoted(value), *([] if bucket is None else [bucket.alias("__bucket")]),
         *[F.coalesce(e, F.lit(0)).cast("long").alias(s) for s, e in sums.items()])
+    if bucket is None:
+        kept = with_value_bucket(kept, value)
     per_value = kept.groupBy(*[quoted(k) for k in [*keys, value]], "__bucket").agg(
         *[F.sum(s).alias(s) for s in names])
     per_bucket = per_value.groupBy(*[quoted(k) for k in keys], "__bucket").agg(
@@ -93,9 +99,10 @@ def order_statistics(df: DataFrame, value: str, ranks: Column, keys: Sequence[st
     """
     keys = list(keys)
     kcols = [quoted(k) for k in keys]
-    bucket = value_bucket(value) if bucket is None else bucket
     kept = df.filter(quoted(value).isNotNull()).select(
-        *kcols, quoted(value), bucket.alias("__bucket"))
+        *kcols, quoted(value), *([] if bucket is None else [bucket.alias("__bucket")]))
+    if bucket is None:
+        kept = with_value_bucket(kept, value)
     counts = kept.groupBy(*kcols, "__bucket").agg(F.count(F.lit(1)).alias("__size"))
     # The bucket table holds at most (octaves * resolution) rows per key.
     group = Window.partitionBy(*kcols, F.lit(0))

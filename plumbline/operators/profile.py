@@ -216,28 +216,38 @@ def numeric_by_class(df: DataFrame, nums: Sequence[str], target: str, digits: in
 
 
 def quantile_edges(df: DataFrame, nums: Sequence[str], bins: int, keys: Sequence[str] = ()) -> DataFrame:
-    """Distinct quantile edges per feature: ``(keys, feature, n, edges)``."""
-    probs = [i / bins for i in range(bins + 1)]
-    return column_quantiles(df, nums, probs, keys).withColumn(
-        "edges", F.array_distinct("q")).drop("q")
+    """Quantile edges ``q`` (bins + 1 values, repeats kept): ``(keys, feature, n, q)``."""
+    return column_quantiles(df, nums, [i / bins for i in range(bins + 1)], keys)
 
 
-def bin_index(value: Column, edges: Column) -> Column:
-    """0-based bin of right-closed bins whose first bin also holds its lower edge."""
-    below = F.size(F.filter(edges, lambda e: e < value))
-    return F.greatest(below - 1, F.lit(0))
+def bin_label(bins: int, value: str = "value", q: str = "q") -> Column:
+    """Label of the right-closed bin of a value; the first bin also holds its lower edge.
+
+    The label is the number of edges below the value, repeats included, so that equal
+    edges collapse without building a list per row; see :func:`bin_position`.
+    """
+    below = " + ".join(f"int({q}[{i}] < {value})" for i in range(bins + 1))
+    first = " + ".join(f"int({q}[{i}] <= {q}[0])" for i in range(bins + 1))
+    return F.expr(f"greatest({below}, {first})")
+
+
+def bin_position(label: str, q: str = "q") -> Column:
+    """0-based position of a bin label among the distinct edges."""
+    return F.expr(f"size(array_distinct(slice({q}, 1, {label}))) - 1")
 
 
 def rate_by_quantile(df: DataFrame, nums: Sequence[str], y: str, bins: int = 4) -> DataFrame:
     """Positive rate per quantile bin, with the bin bounds and the distance to the overall rate."""
     labelled = df.filter(quoted(y).isNotNull())
-    edges = quantile_edges(labelled, nums, bins).filter(F.size("edges") > 1)
+    # One row per feature, each bins + 1 edges wide.
+    edges = quantile_edges(labelled, nums, bins).filter("size(array_distinct(q)) > 1").select("feature", "q")
     long = melt(labelled, nums, [quoted(y).cast("long").alias("y")], as_number=True).filter(
         F.col("value").isNotNull())
-    # One row per feature, each at most bins + 1 edges wide.
-    binned = long.join(F.broadcast(edges.select("feature", "edges")), "feature").groupBy(
-        "feature", "edges", bin_index(F.col("value"), F.col("edges")).alias("bin")).agg(
+    counts = long.join(F.broadcast(edges), "feature").groupBy("feature", bin_label(bins).alias("__label")).agg(
         F.count(F.lit(1)).alias("count"), F.sum("y").alias("positives"))
+    binned = counts.join(F.broadcast(edges), "feature").select(
+        "feature", bin_position("__label").alias("bin"), "count", "positives",
+        F.array_distinct("q").alias("edges"))
     overall = labelled.agg(F.avg(quoted(y)).alias("overall_rate"))
     rate = ratio(F.col("positives"), F.col("count"))
     return attach_scalars(binned, overall).select(

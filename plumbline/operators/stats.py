@@ -12,7 +12,7 @@ from plumbline.functions.columns import (
 )
 from plumbline.functions.ordered import running_totals
 from plumbline.functions.tails import chi2_pvalue, kolmogorov_pvalue, normal_pvalue, t_pvalue
-from plumbline.operators.profile import bin_index, quantile_edges, rate_by_category
+from plumbline.operators.profile import bin_label, quantile_edges, rate_by_category
 from plumbline.session import materialize, small_side
 
 
@@ -264,10 +264,10 @@ def mutual_information(df: DataFrame, cats: Sequence[str], nums: Sequence[str],
         parts.append(melt(known, cats, [label]).select(
             "feature", "y", F.coalesce("value", F.lit("null")).alias("value")))
     if nums:
-        edges = quantile_edges(known, nums, bins).select("feature", "edges")
+        edges = quantile_edges(known, nums, bins).select("feature", "q")
         long = melt(known, nums, [label], as_number=True).filter(F.col("value").isNotNull())
         parts.append(long.join(F.broadcast(edges), "feature").select(  # one row per feature
-            "feature", "y", bin_index(F.col("value"), F.col("edges")).cast("string").alias("value")))
+            "feature", "y", bin_label(bins).cast("string").alias("value")))
     rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     cells = materialize(rows.groupBy("feature", "value", "y").agg(F.count(F.lit(1)).alias("o")))
     r = cells.groupBy("feature", "value").agg(F.sum("o").alias("r"))

@@ -7,14 +7,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import decision_tree_index
-from plumbline.functions.ordered import column_quantiles, order_statistics, quantiles, running_totals, value_bucket
+from plumbline.functions.ordered import column_quantiles, order_statistics, quantiles, running_totals, with_value_bucket
 
 
 def test_value_bucket_is_monotone(spark):
     values = [-math.inf, -1e300, -5.0, -4.999, -1e-300, 0.0, 5e-324, 1e-310, 0.1, 0.3, 0.30000000000000004,
               0.49999999999999994, 0.5, 1.0, 1.9999999999999998, 2.0, 1e300, math.inf]
     df = spark.createDataFrame([(v,) for v in values], "v double")
-    got = [r.b for r in df.select("v", value_bucket("v").alias("b")).orderBy("v").collect()]
+    got = [r.b for r in with_value_bucket(df, "v", "b").orderBy("v").collect()]
     assert got == sorted(got)
     assert got[0] < got[2] and got[-1] > got[-3]
 

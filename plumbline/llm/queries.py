@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat, exact_dedup, packing, token_counts
+from plumbline.llm import chat, exact_dedup, mixing, packing, quality, token_counts, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,6 +34,20 @@ def token_count_query(spark: SparkSession, folder: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+@query("op3_exact_top_k", """
+WITH codes AS (SELECT vec_id, list_transform(embedding, lambda x: x > 0 AND NOT isnan(x)) AS bits FROM embeddings
+               WHERE embedding IS NOT NULL),
+     pairs AS (SELECT q.vec_id AS query_id, r.vec_id AS neighbor_id,
+                      list_sum(list_transform(list_zip(q.bits, r.bits), lambda z: CAST(z[1] <> z[2] AS BIGINT))) AS distance
+               FROM codes q JOIN codes r ON q.vec_id % 50 = 0 AND q.vec_id <> r.vec_id)
+SELECT query_id, neighbor_id, rank, CAST(distance AS BIGINT) AS distance FROM
+  (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS rank FROM pairs)
+WHERE rank <= 10""")
+def top_k_query(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings").select("vec_id", topk.sign_code(F.col("embedding")).alias("code"))
+    return topk.nearest(rows, "code", "vec_id", F.col("vec_id") % 50 == 0, k=10)
+
+
 @query("op4_exact_dedup", """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
        doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -42,6 +56,25 @@ def exact_dedup_query(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.group_equal_texts(table(spark, folder, "documents"), "doc_id", "text", keep="largest")
 
 
+#: Marginals are the token shares to this power; rounds of raking.
+POWER, ROUNDS = 0.7, 8
+
+
+@query("op5_mixing", mixing.oracle(POWER, ROUNDS))
+def mixing_query(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select(
+        "doc_id", F.coalesce("source", F.lit("\x00null")).alias("source"),
+        F.coalesce("lang", F.lit("\x00null")).alias("lang"), mixing.topic_of(F.col("text")).alias("topic"),
+        mixing.token_weight(F.col("text")).alias("n_tokens"))
+    return mixing.sample_to_targets(docs, ["source", "lang", "topic"], "doc_id", "n_tokens", power=POWER, rounds=ROUNDS)
+
+
+@query("op7_quality_classifier")
+def quality_query(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return quality.score(docs, quality.fit(docs, table(spark, folder, "labels")), threshold=0.3)
+
+
 @query("op8_chat_format", """
 WITH said AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
               UNION ALL SELECT -1, n, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(n, r)),
@@ -70,3 +103,9 @@ def packing_query(spark: SparkSession, folder: str) -> DataFrame:
                           size=4096, eos=2)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
                          "sequence_id", "offset")
+
+
+@query("op10_toxicity")
+def toxicity_query(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, folder, "labels")), threshold=0.5)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat, exact_dedup, mixing, packing, quality, token_counts, topk, toxicity
+from plumbline.llm import chat, exact_dedup, jaccard, mixing, packing, quality, token_counts, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -69,6 +69,11 @@ def mixing_query(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.sample_to_targets(docs, ["source", "lang", "topic"], "doc_id", "n_tokens", power=POWER, rounds=ROUNDS)
 
 
+@query("op6_ngram_jaccard_join")
+def jaccard_query(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, folder, "documents"), "doc_id", "text", words=4, percent=85)
+
+
 @query("op7_quality_classifier")
 def quality_query(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")

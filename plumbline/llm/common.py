@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import quoted
+from plumbline.session import work_folder
 
 #: Words are maximal runs of anything but the six ASCII white space characters.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _TO_SPACE = str.maketrans("\t\n\x0b\x0c\r", "     ")
 #: Entries a worker keeps in a per-word cache before it starts a new one.
 CACHE_ENTRIES = 400_000
+#: Folder of the tables an application has written, by its id.
+_FOLDERS: dict[str, str] = {}
 
 
 def words_of(text: str | None) -> list[str]:
@@ -87,9 +92,30 @@ def text_batches(batches: Iterable[pa.RecordBatch], limit: int = 4 << 20) -> Ite
 
 
 def hold(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in the shared folder of the session."""
-    from plumbline.session import materialize
-    return materialize(df)
+    """Compute a table once: write it to the shared folder of the session and read it again.
+
+    A lost executor costs none of it, and the planner knows its true size afterwards. The
+    tables of a session are removed when it ends.
+    """
+    spark = df.sparkSession
+    path = f"{_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _folder(spark: SparkSession) -> str:
+    """One folder per application below the shared one."""
+    app = spark.sparkContext.applicationId
+    if app not in _FOLDERS:
+        _FOLDERS[app] = f"{work_folder(spark)}/tables-{app}-{uuid.uuid4().hex[:8]}"
+        atexit.register(_remove, spark, _FOLDERS[app])
+    return _FOLDERS[app]
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, key: str, text: str,

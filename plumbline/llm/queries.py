@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat, exact_dedup, jaccard, mixing, packing, quality, token_counts, topk, toxicity
+from plumbline.llm import chat, exact_dedup, jaccard, mixing, packing, quality, substrings, token_counts, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +27,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query("op1_substring_dedup")
+def substring_query(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, folder, "documents"), "doc_id", "text", window=20).select(
+        "doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 @query("op2_token_counts")
 def token_count_query(spark: SparkSession, folder: str) -> DataFrame:
     counted = token_counts.count_tokens(table(spark, folder, "documents").select("doc_id", "text"),

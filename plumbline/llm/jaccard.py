@@ -85,22 +85,25 @@ def prefix_length(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
+def _prefix(s: np.ndarray, rarity: np.ndarray, seed: int, percent: int) -> np.ndarray:
+    """The first tokens of a set under one order: by frequency class, then by a seeded hash."""
+    p = prefix_length(len(s), percent)
+    level = rarity[s & np.uint64(SKETCH - 1)].astype(np.uint64) << np.uint64(56)
+    return s[np.argpartition(level | (mix64(s, seed) >> np.uint64(8)), p - 1)[:p]].view(np.int64)
+
+
 def _prefixes(shingler: Shingler, percent: int, classes):
-    """Rows (id, n, bitmap, first, second, third): prefixes under the orders, rare tokens first."""
-    names = ["id", "n", *[f"m{i}" for i in range(BITMAP)], "p0", "p1", "p2"]
+    """Rows (id, n, bitmap, prefix under the first order)."""
+    names = ["id", "n", *[f"m{i}" for i in range(BITMAP)], "p"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, rarity = _Words(), classes.value
         for rows in text_batches(batches):
-            ids, sizes, maps, prefixes = [], [], [], ([], [], [])
+            ids, sizes, maps, prefixes = [], [], [], []
             for (k, _), s in zip(rows, shingler.sets([t for _, t in rows], known)):
                 if not len(s):
                     continue
-                p = prefix_length(len(s), percent)
-                level = rarity[s & np.uint64(SKETCH - 1)].astype(np.uint64) << np.uint64(56)
-                for seed, held in zip(ORDERS, prefixes):
-                    order = level | (mix64(s, seed) >> np.uint64(8))
-                    held.append(s[np.argpartition(order, p - 1)[:p]].view(np.int64))
+                prefixes.append(_prefix(s, rarity, ORDERS[0], percent))
                 bits = np.bincount((mix64(s, 5) >> np.uint64(55)).astype(np.int64), minlength=64 * BITMAP) & 1
                 maps.append(np.packbits(bits.astype(np.uint8)).view(np.int64))
                 ids.append(k)
@@ -110,17 +113,20 @@ def _prefixes(shingler: Shingler, percent: int, classes):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()),
                      *[pa.array(stacked[:, i]) for i in range(BITMAP)],
-                     *[pa.array(p, pa.list_(pa.int64())) for p in prefixes]], names)
+                     pa.array(prefixes, pa.list_(pa.int64()))], names)
     return run
 
 
-def _shingle_rows(shingler: Shingler):
+def _shingle_rows(shingler: Shingler, percent: int, classes):
+    """Rows (id, whole set, prefixes under the other orders)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Words()
+        known, rarity = _Words(), classes.value
         for rows in text_batches(batches):
-            sets = [s.view(np.int64) for s in shingler.sets([t for _, t in rows], known)]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()),
-                                              pa.array(sets, pa.list_(pa.int64()))], ["id", "s"])
+            sets = list(shingler.sets([t for _, t in rows], known))
+            columns = [[s.view(np.int64) for s in sets],
+                       *[[_prefix(s, rarity, seed, percent) for s in sets] for seed in ORDERS[1:]]]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), *[
+                pa.array(c, pa.list_(pa.int64())) for c in columns]], ["id", "s", "p1", "p2"])
     return run
 
 
@@ -143,11 +149,11 @@ def components(links: DataFrame) -> DataFrame:
 
 
 class _Search:
-    """Candidates, filters and verification over the representatives of equal sets."""
+    """Filters and verification over the representatives of equal sets."""
 
-    def __init__(self, docs: DataFrame, shingler: Shingler, percent: int, prefixes: DataFrame) -> None:
-        self.docs, self.shingler, self.percent, self.prefixes = docs, shingler, percent, prefixes
-        self.small = prefixes.drop("p0", "p1", "p2")
+    def __init__(self, docs: DataFrame, shingler: Shingler, percent: int, classes, prefixes: DataFrame) -> None:
+        self.docs, self.percent, self.small = docs, percent, prefixes.drop("p")
+        self.rows = _shingle_rows(shingler, percent, classes)
 
     def alike(self, x: str, y: str) -> Column:
         """Sizes and parity bitmaps allow the similarity.
@@ -165,22 +171,18 @@ class _Search:
         return (pairs.join(x, F.expr("a = x.id")).join(y, F.expr("b = y.id")).filter(self.alike("x", "y"))
                 .select("a", "b"))
 
-    def by_orders(self, pairs: DataFrame) -> DataFrame:
-        """Keep pairs that share prefix tokens under all the other orders as well."""
-        x, y = (self.prefixes.select("id", "p1", "p2").alias(s) for s in "xy")
-        return (pairs.join(x, F.expr("a = x.id")).join(y, F.expr("b = y.id"))
-                .filter("arrays_overlap(x.p1, y.p1) AND arrays_overlap(x.p2, y.p2)").select("a", "b"))
-
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs whose whole shingle sets are similar enough."""
-        pairs = hold(self.by_orders(pairs))
+        """The pairs that share prefix tokens under all the other orders too and whose whole
+        sets are similar enough."""
         wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
         sets = hold(self.docs.join(wanted, "id", "left_semi").select("id", "t")
-                    .mapInArrow(_shingle_rows(self.shingler), "id long, s array<long>").dropDuplicates(["id"]))
+                    .mapInArrow(self.rows, "id long, s array<long>, p1 array<long>, p2 array<long>")
+                    .dropDuplicates(["id"]))
         x, y = sets.alias("x"), sets.alias("y")
-        common = pairs.join(x, F.expr("a = x.id")).join(y, F.expr("b = y.id")).select(
-            "a", "b", F.size(F.array_intersect("x.s", "y.s")).cast("long").alias("i"),
-            (F.size("x.s") + F.size("y.s")).cast("long").alias("both"))
+        common = (pairs.join(x, F.expr("a = x.id")).join(y, F.expr("b = y.id"))
+                  .filter("arrays_overlap(x.p1, y.p1) AND arrays_overlap(x.p2, y.p2)").select(
+                      "a", "b", F.size(F.array_intersect("x.s", "y.s")).cast("long").alias("i"),
+                      (F.size("x.s") + F.size("y.s")).cast("long").alias("both")))
         return hold(common.filter(F.expr(f"100 * i >= {self.percent} * (both - i)")).select("a", "b"))
 
 
@@ -220,13 +222,12 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     member = hold(signed.join(classes_of, ["n", "a", "b"], "left").select(
         "id", "n", F.coalesce("rep", "id").alias("rep")))
     reps = member.filter("n > 0 AND id = rep").select("id").distinct()
-    schema = ", ".join(["id long", "n long", *[f"m{i} long" for i in range(BITMAP)],
-                        *[f"p{i} array<long>" for i in range(3)]])
+    schema = ", ".join(["id long", "n long", *[f"m{i} long" for i in range(BITMAP)], "p array<long>"])
     prefixes = hold(docs.mapInArrow(_prefixes(shingler, percent, classes), schema)
                     .join(reps, "id", "left_semi").dropDuplicates(["id"]))
-    search = _Search(docs, shingler, percent, prefixes)
+    search = _Search(docs, shingler, percent, classes, prefixes)
 
-    postings = prefixes.select("id", F.explode("p0").alias("token"))
+    postings = prefixes.select("id", F.explode("p").alias("token"))
     hubs = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("id").alias("hub")).filter("df > 1")
     shared = hold(postings.join(hubs.select("token", "hub"), "token"))
     stars = shared.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()

@@ -26,8 +26,10 @@ CODE = 6
 
 
 class _Words(dict):
+    """word -> id: 58 bits of its hash below 6 bits for its length."""
+
     def __missing__(self, word: bytes) -> int:
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
+        self[word] = value = xxhash.xxh3_64_intdigest(word) >> 6 | min(len(word), 63) << 58
         return value
 
     def ids(self, words: list[bytes]) -> np.ndarray:
@@ -51,10 +53,15 @@ def _extreme(values: np.ndarray, width: int, choose) -> np.ndarray:
 
 
 def window_anchors(ids: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(smallest anchor hash of every window, anchor hash of every position where one was taken)."""
+    """(smallest anchor hash of every window, anchor of every position where one was taken)."""
     if len(ids) < window:
         return np.empty(0, np.uint64), np.empty(0, np.uint64)
-    grams = ngram_ids(ids, min(ANCHOR, window))
+    # Long words are rare ones. With the bytes of the words in front of the hash, the smallest
+    # value is a sequence that seldom comes back by chance.
+    m = min(ANCHOR, window)
+    size = np.convolve((ids >> np.uint64(58)).astype(np.int64), np.ones(m, np.int64), "valid")
+    grams = (np.uint64(1023) - np.minimum(size, 1023).astype(np.uint64)) << np.uint64(54)
+    grams |= ngram_ids(ids, m) >> np.uint64(10)
     width = len(grams) - (len(ids) - window)
     least = _extreme(grams, width, np.minimum)
     pad = np.zeros(width - 1, np.uint64)

@@ -173,20 +173,29 @@ class ShardIndex:
 
 
 def _documents(window: int):
-    """(id, n, sha, anchors) per text; an anchor met at several places is named twice."""
+    """Rows (0, id, n, sha) per text and (1, id, anchor) per anchor; one met at several places twice."""
+    names = ["kind", "id", "n", "sha"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Words()
         for rows in text_batches(batches):
-            out = []
+            n, sha, owners, anchors = [], [], [], []
             for k, t in rows:
                 words = _split(t)
                 _, taken = window_anchors(known.ids(words), window)
                 values, counts = np.unique(taken, return_counts=True)
-                out.append((k, len(words), hashlib.sha256(b" ".join(words)).hexdigest(),
-                            np.concatenate([values, values[counts > 1]]).view(np.int64)))
-            ids, n, sha, anchors = zip(*out)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(sha),
-                                              pa.array(anchors, pa.list_(pa.int64()))], ["id", "n", "sha", "anchors"])
+                n.append(len(words))
+                sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
+                anchors += [values, values[counts > 1]]
+                owners.append(len(values) + int((counts > 1).sum()))
+            keys = pa.array([k for k, _ in rows], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int8)), keys, pa.array(n, pa.int64()),
+                                              pa.array(sha, pa.string())], names)
+            found = np.concatenate(anchors).view(np.int64)
+            if len(found):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.ones(len(found), np.int8)), keys.take(pa.array(np.repeat(np.arange(len(n)), owners))),
+                     pa.array(found), pa.nulls(len(found), pa.string())], names)
     return run
 
 
@@ -298,11 +307,12 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", windo
     5. Runs of windows that start earlier elsewhere become intervals of their documents.
     """
     docs = df.select(quoted(key).cast("long").alias("id"), quoted(text).alias("t"))
-    seen = hold(docs.mapInArrow(_documents(window), "id long, n long, sha string, anchors array<long>"))
-    groups = seen.groupBy("sha", "n").agg(F.min("id").alias("rep"))
-    rows = hold(seen.join(groups, ["sha", "n"]).select("id", "n", "sha", "rep", F.when(
-        F.col("id") == F.col("rep"), F.col("anchors")).alias("anchors")))
-    anchors = rows.select("id", F.explode("anchors").alias("anchor"))
+    seen = hold(docs.mapInArrow(_documents(window), "kind byte, id long, n long, sha string"))
+    texts = seen.filter("kind = 0").select("id", "n", "sha")
+    groups = texts.groupBy("sha", "n").agg(F.min("id").alias("rep"))
+    rows = hold(texts.join(groups, ["sha", "n"]).select("id", "n", "sha", "rep"))
+    copies = hold(rows.filter("id <> rep").select("id").distinct())
+    anchors = (seen.filter("kind = 1").select("id", F.col("n").alias("anchor")).join(copies, "id", "left_anti"))
     again = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("places")).filter("places > 1").select("anchor")
     wanted = anchors.join(again, "anchor", "left_semi").groupBy("id").agg(F.collect_set("anchor").alias("wanted"))
     cut = hold(docs.join(wanted, "id").select("id", "wanted", "t").mapInArrow(
@@ -311,7 +321,8 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", windo
     found = segments.groupBy("anchor", "content").agg(
         F.min(F.struct("id", "start")).alias("first"), F.max("count").alias("count"), F.max("body").alias("body"))
     distinct = hold(found.select(F.col("anchor").alias("route"), "content", "first.id", "first.start", "count", "body"))
-    hot = distinct.groupBy("route").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT_SEGMENTS).select("route")
+    hot = hold(distinct.groupBy("route").agg(F.count(F.lit(1)).alias("n"))
+               .filter(F.col("n") > HOT_SEGMENTS).select("route"))
     pieces = [F.explode(F.expr("sequence(0L, count - 1)")).alias("i")]
     # Single windows of hot anchors: their own hash is both route and content.
     def windows_of(rows: DataFrame) -> DataFrame:
@@ -333,11 +344,11 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", windo
             .select("id", (F.col("start") + F.col("offset")).alias("a"),
                     (F.col("start") + F.col("offset") + F.col("count") + F.lit(window - 1)).alias("b")))
     spans = late.groupBy("id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    texts = cut.filter("kind = 1").select("id", "body").dropDuplicates(["id"])
-    changed = hold(texts.join(spans, "id").select("id", "body", "spans").mapInArrow(
+    packed = cut.filter("kind = 1").select("id", "body").dropDuplicates(["id"])
+    changed = hold(packed.join(spans, "id").select("id", "body", "spans").mapInArrow(
         _apply, "id long, sha string, removed long, spans array<struct<start:long,end:long>>"))
     copy = (F.col("id") != F.col("rep")) & (F.col("n") >= window)
-    done = rows.drop("anchors").join(changed.withColumnRenamed("sha", "new_sha"), "id", "left")
+    done = rows.join(changed.withColumnRenamed("sha", "new_sha"), "id", "left")
     everything = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n").alias("end")))
     return done.select(
         F.col("id").alias(key), F.col("n").alias("n_words"),

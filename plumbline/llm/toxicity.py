@@ -19,9 +19,11 @@ WORD_ROWS, CHAR_ROWS, WIDTH, STATE = 1 << 15, 1 << 15, 6, 8
 #: Bytes of a word that are one step, with its two end marks; longer words are several steps.
 STEP_BYTES = 24
 #: Bounds of the training sample: rows of either class, and bytes of a training text.
-ROWS_PER_CLASS, TRAIN_BYTES = 2000, 16_384
+ROWS_PER_CLASS, TRAIN_BYTES = 1500, 16_384
 #: Windows scored together; least number of updates in a training round over few rows.
 BATCH, MIN_STEPS = 1024, 60
+#: Bytes of text scored together, and distinct words whose inputs are worked out together.
+TEXT_BYTES, WORDS = 3 << 20, 8192
 
 
 def raw_words(text: str | None) -> list[bytes]:
@@ -95,8 +97,8 @@ class Network:
 
     def tables(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Input projections of distinct words for both directions; the last row is padding."""
-        x, _ = self.inputs(words)
-        x = np.concatenate([x, np.zeros((1, x.shape[1]), np.float32)])
+        parts = [self.inputs(words[at:at + WORDS])[0] for at in range(0, len(words), WORDS)]
+        x = np.concatenate([*parts, np.zeros((1, 2 * WIDTH), np.float32)])
         return x @ self.p["Wf"] + self.p["cf"], x @ self.p["Wr"] + self.p["cr"]
 
     def _side(self, table: np.ndarray, ids: np.ndarray, mask: np.ndarray | None, side: str, keep: list | None) -> np.ndarray:
@@ -212,6 +214,10 @@ def window_logits(net: Network, texts: list[str | None]) -> list[np.ndarray]:
     return [out[a:b] for a, b in zip(ends[:-1], ends[1:])]
 
 
+def _all_logits(net: Network, texts: list[str]) -> list[np.ndarray]:
+    return [x for batch in by_bytes(texts, len, TEXT_BYTES // 4) for x in window_logits(net, batch)]
+
+
 def _hints(net: Network, docs: list[list[bytes]], y: np.ndarray) -> None:
     """Start the embeddings with the log odds of words and pieces among the training documents."""
     for name, rows, part in (("Ew", WORD_ROWS, 0), ("Ec", CHAR_ROWS, 1)):
@@ -236,7 +242,8 @@ def train(texts: list[str], labels: list[int], epochs: int = 4, rounds: int = 2,
     """
     net, rng = Network(), np.random.default_rng(seed)
     y = np.array(labels)
-    docs = [steps_of(t) for t in texts]
+    one: dict[bytes, bytes] = {}
+    docs = [[one.setdefault(p, p) for p in steps_of(t)] for t in texts]
     if len(set(labels)) < 2:
         net.p["w"][:] = 0
         net.p["b"][0] = -30
@@ -247,7 +254,7 @@ def train(texts: list[str], labels: list[int], epochs: int = 4, rounds: int = 2,
     step = 0
     for turn in range(rounds):
         if turn:
-            picked = [int(np.argmax(s)) if len(s) else 0 for s in window_logits(net, texts)]
+            picked = [int(np.argmax(s)) if len(s) else 0 for s in _all_logits(net, texts)]
         else:
             picked = []
             for d in docs:
@@ -278,7 +285,7 @@ def train(texts: list[str], labels: list[int], epochs: int = 4, rounds: int = 2,
                     second[k] += 0.01 * (v * v - second[k])
                     net.p[k] -= (rate * first[k] / (1 - 0.9 ** step)
                                  / (np.sqrt(second[k] / (1 - 0.99 ** step)) + 1e-6)).astype(np.float32)
-    tops = np.array([w.max() if len(w) else -30.0 for w in window_logits(net, texts)])
+    tops = np.array([w.max() if len(w) else -30.0 for w in _all_logits(net, texts)])
     net.p["b"][0] -= _parting(tops, y)
     return net
 
@@ -319,7 +326,7 @@ def with_score(df: DataFrame, net: Network, text: str = "text", out: str = "scor
         model = shared.value
         for column in columns:
             scores = []
-            for batch in by_bytes(column.to_pylist(), len, 8 << 20):
+            for batch in by_bytes((t.as_py() for t in column), len, TEXT_BYTES):
                 for logits in window_logits(model, batch):
                     top = float(np.clip(logits.max(), -30, 30)) if len(logits) else None
                     scores.append(0.0 if top is None else 1.0 / (1.0 + np.exp(-top)))

@@ -23,6 +23,14 @@ def as_column(c: str | Column) -> Column:
     return quoted(c) if isinstance(c, str) else c
 
 
+def missing(df: DataFrame, name: str) -> Column:
+    """Null, or NaN in a floating-point column: the one rule of all operators."""
+    x = quoted(name)
+    if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
+        return x.isNull() | F.isnan(x)
+    return x.isNull()
+
+
 def number(c: str | Column) -> Column:
     """Double where the value is a number; NaN and unparsable text become null."""
     x = as_column(c).try_cast("double")

@@ -25,14 +25,14 @@ def logit(p: Column, eps: float = EPS) -> Column:
 
 
 def fit_platt(pred: DataFrame, label: str = "y", score_col: str = "p", C: float = 1.0,
-              smooth: bool = False) -> LogisticRegressionModel:
-    """Logistic fit on the logit of the score.
+              smooth: bool = False, raw: bool = False) -> LogisticRegressionModel:
+    """Logistic fit on the logit of the score, or with ``raw`` on the score itself.
 
     ``smooth`` uses Platt's targets (n1 + 1)/(n1 + 2) and 1/(n0 + 2), written as
     weighted positive and negative copies of each row, and no penalty.
     """
     rows = pred.filter(quoted(label).isNotNull()).select(
-        quoted(label).cast("double").alias("y"), logit(number(score_col)).alias("z"))
+        quoted(label).cast("double").alias("y"), (number(score_col) if raw else logit(number(score_col))).alias("z"))
     sizes = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("p")).first()
     n, n1 = sizes["n"], sizes["p"] or 0.0
     if smooth:
@@ -79,10 +79,8 @@ class CalibratedModel:
     def _member_probability(self, df: DataFrame, i: int) -> DataFrame:
         model, slope, intercept = self.members[i]
         keep = [quoted(c) for c in df.columns]
-        # The raw score is its own projection, so the model runs once per row although
-        # the curve uses it twice.
         raw = model.transform(df).select(*keep, vector_to_array("probability")[1].alias("__raw"))
-        z = F.lit(intercept) + F.lit(slope) * logit(F.col("__raw"))
+        z = F.lit(intercept) + F.lit(slope) * F.col("__raw")
         return raw.select(*keep, (F.lit(1.0) / (F.lit(1.0) + F.exp(-z))).alias(f"__member_{i}"))
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -109,10 +107,12 @@ class CalibratedModel:
         return cls([(PipelineModel.load(f"{root}/member_{r['member']}"), r["slope"], r["intercept"]) for r in rows])
 
 
-def calibrated_cv(df: DataFrame, spec: ModelSpec, ids: Sequence[str], k: int = 3, seed: int = 42,
+def calibrated_cv(df: DataFrame, spec: ModelSpec, ids: Sequence[str], k: int = 5, seed: int = 42,
                   label: str = "y", parallelism: int = 4, in_sample: bool = False) -> CalibratedModel:
     """Fit k (model, sigmoid) pairs on inner folds with Platt's smoothed targets.
 
+    The sigmoids are curves over the members' raw probabilities, not over their logits.
+
     ``in_sample`` calibrates on the rows the model was fitted on, which is optimistic and
     offered only for comparison with results produced that way.
     """
@@ -123,7 +123,7 @@ def calibrated_cv(df: DataFrame, spec: ModelSpec, ids: Sequence[str], k: int = 3
             train = base.filter(F.col("fold") != f)
             model = fit(spec, train, seed, label, cache=False)
             rows = train if in_sample else base.filter(F.col("fold") == f)
-            platt = fit_platt(score(rows, model), label, smooth=True)
+            platt = fit_platt(score(rows, model), label, smooth=True, raw=True)
             return model, float(platt.coefficients[0]), float(platt.intercept)
         return run
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import (
-    as_column, attach_scalars, number, quoted, ratio, require_columns, value_counts,
+    as_column, attach_scalars, missing, number, quoted, ratio, require_columns, value_counts,
 )
 
 # Accepted spellings of a binary target.
@@ -78,8 +78,8 @@ def encode_target_lenient(df: DataFrame, col: str, out: str = "y") -> DataFrame:
     used is added as ``mapping_method``. The facts needed are three scalars from one
     mergeable aggregation, so no distinct list of values is ever collected.
     """
-    text = quoted(col).cast("string")
-    code = lenient_target(quoted(col))
+    text = F.when(~missing(df, col), quoted(col).cast("string"))
+    code = F.when(~missing(df, col), lenient_target(quoted(col)))
     facts = df.agg(
         F.min(text).alias("__lo"), F.max(text).alias("__hi"),
         F.min(code).alias("__min_code"), F.max(code).alias("__max_code"),
@@ -164,11 +164,7 @@ def filter_impact(df: DataFrame, target: str) -> DataFrame:
     groups = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("__n"))
     complete = F.lit(True)
     for c in df.columns:
-        x = quoted(c)
-        ok = x.isNotNull()
-        if dict(df.dtypes)[c] in ("double", "float"):
-            ok = ok & ~F.isnan(x)
-        complete = complete & ok
+        complete = complete & ~missing(df, c)
     y = lenient_target(target)
 
     def line(op: str, rows: Column, valid: Column, pos: Column) -> Column:
@@ -252,9 +248,9 @@ def canonical_checks(df: DataFrame, spec: dict) -> DataFrame:
     so duplicates of any multiplicity stay partially aggregated.
     """
     target, ident = quoted(spec["target"]).cast("string"), quoted(spec["id"])
-    missing = sum([F.count_if(quoted(c).isNull()) for c in df.columns], F.lit(0))
+    gaps = sum([F.count_if(missing(df, c)) for c in df.columns], F.lit(0))
     base = df.agg(
-        F.count(F.lit(1)).alias("rows"), missing.alias("missing_cells"),
+        F.count(F.lit(1)).alias("rows"), gaps.alias("missing_cells"),
         F.count_if(target == spec["positive"]).alias("pos"),
         F.count_if(target == spec["negative"]).alias("neg"),
         F.count_if(target.isNull()).alias("target_missing"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import (
-    attach_scalars, categorical_columns, decision_tree_index, melt, number, numeric_columns,
+    attach_scalars, categorical_columns, decision_tree_index, melt, missing, number, numeric_columns,
     per_column, quoted, ratio, value_counts,
 )
 from plumbline.functions.ordered import column_quantiles
@@ -21,8 +21,8 @@ def _row_counts(df: DataFrame) -> DataFrame:
 
 def table_structure(df: DataFrame, ident: str) -> DataFrame:
     """Rows, columns, duplicate rows and ids, missing cells and their share."""
-    missing = sum([F.count_if(quoted(c).isNull()) for c in df.columns], F.lit(0))
-    base = df.agg(F.count(F.lit(1)).alias("rows"), missing.cast("long").alias("missing_cells"))
+    gaps = sum([F.count_if(missing(df, c)) for c in df.columns], F.lit(0))
+    base = df.agg(F.count(F.lit(1)).alias("rows"), gaps.cast("long").alias("missing_cells"))
     dup = _row_counts(df).agg(F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias("duplicate_rows"))
     ids = df.groupBy(quoted(ident).alias("__id")).agg(F.count(F.lit(1)).alias("__n")).agg(
         F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias("duplicate_ids"))
@@ -54,14 +54,14 @@ def missingness(df: DataFrame, cols: Sequence[str] | None = None, top: int | Non
     """Missing count and share per column, most affected first (``top`` columns if given)."""
     cols = list(cols or df.columns)
     out = per_column(df, cols, lambda c: {
-        "missing": F.count_if(quoted(c).isNull()), "rows": F.count(F.lit(1))})
+        "missing": F.count_if(missing(df, c)), "rows": F.count(F.lit(1))})
     out = out.withColumn("missing_percent", ratio(F.col("missing"), F.col("rows"), 0.0) * 100)
     return out.orderBy(F.desc("missing"), "feature").limit(top) if top else out
 
 
 def missing_rows(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Rows with any missing value, complete rows and missing cells in total."""
-    gaps = sum([quoted(c).isNull().cast("int") for c in (cols or df.columns)], F.lit(0))
+    gaps = sum([missing(df, c).cast("int") for c in (cols or df.columns)], F.lit(0))
     return df.agg(F.count_if(gaps > 0).alias("rows_with_any_missing"),
                   F.count_if(gaps == 0).alias("complete_rows"),
                   F.coalesce(F.sum(gaps), F.lit(0)).alias("missing_cells"))

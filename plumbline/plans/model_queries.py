@@ -127,7 +127,7 @@ def h11(spark: Spark, sf: str) -> DataFrame:
 
 @query("h12_fit_production")
 def h12(spark: Spark, sf: str) -> DataFrame:
-    meta = models.fit_production(_rows(spark, sf), rf("production forest"), _scratch(spark) + "/model", 0.25, 3, IDS,
+    meta = models.fit_production(_rows(spark, sf), rf("production forest"), _scratch(spark) + "/model", 0.25, 5, IDS,
                                  metadata={"use": "decision support"})
     return meta.drop("trained_at")
 
@@ -209,7 +209,7 @@ def c2(spark: Spark, sf: str) -> DataFrame:
 @query("c3_calibrated_cv")
 def c3(spark: Spark, sf: str) -> DataFrame:
     train, test = _halves(spark, sf)
-    model = calibrate.calibrated_cv(train, rf(), IDS, 3)
+    model = calibrate.calibrated_cv(train, rf(), IDS, 5)
     both = models.score(test, model).select("y", "p", F.lit("sigmoid").alias("method")).unionByName(
         models.score(test, models.fit(rf(), train)).select("y", "p", F.lit("uncalibrated").alias("method")))
     return metrics.split_performance(materialize(both), ["method"])

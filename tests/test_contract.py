@@ -104,3 +104,13 @@ def test_text_scan_and_replace(spark):
     assert got == [(1, 1, 1, "a old.csv"), (1, 3, 2, "old.csv old.csv")]
     r = {x.id: (x.status, x.replacements) for x in text.replace_text(df, "t", r"old\.csv", "new.csv").collect()}
     assert r == {1: ("updated", 3), 2: ("already_canonical", 0), 3: ("missing", 0)}
+
+
+def test_nan_is_missing_everywhere(spark):
+    from plumbline.operators import contract, profile
+    df = spark.createDataFrame([(1, 0.0), (2, 1.0), (3, float("nan")), (4, None)], "id long, y double")
+    codes = {r.id: (r.t, r.mapping_method) for r in contract.encode_target_lenient(df, "y", "t").collect()}
+    assert codes == {1: (0, "semantic"), 2: (1, "semantic"), 3: (None, "semantic"), 4: (None, "semantic")}
+    assert profile.table_structure(df, "id").first().missing_cells == 2
+    assert {r.feature: r.missing for r in profile.missingness(df).collect()} == {"id": 0, "y": 2}
+    assert profile.missing_rows(df).first().rows_with_any_missing == 2

@@ -181,3 +181,17 @@ def test_subsets_rank_on_training_rows(data):
     folds = splits.repeated_stratified_kfold(data, "y", IDS, 3, (1,))
     got = importance.subset_evaluation(folds, [spec()], [1, 3], IDS).collect()
     assert len(got) == 6 and {r.features for r in got if r.subset_size == 1} <= {"x", "c"}
+
+
+def test_calibration_is_fitted_on_raw_probabilities(spark):
+    import math
+    from plumbline.operators import calibrate
+    rows = [(float(i % 10) / 10, int((i * 7) % 10 < i % 10)) for i in range(400)]
+    df = spark.createDataFrame(rows, "p double, y int")
+    model = calibrate.fit_platt(df, smooth=True, raw=True)
+    n1 = sum(y for _, y in rows)
+    high, low = (n1 + 1) / (n1 + 2), 1 / (len(rows) - n1 + 2)
+    a, b = float(model.coefficients[0]), float(model.intercept)
+    # At the optimum both score equations over the raw probability vanish.
+    rest = [(1 / (1 + math.exp(-(a * p + b))) - (high if y else low), p) for p, y in rows]
+    assert abs(sum(r for r, _ in rest)) < 1e-2 and abs(sum(r * p for r, p in rest)) < 1e-2

@@ -118,6 +118,60 @@ def _remove(spark: SparkSession, path: str) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+class BitFilter:
+    """A set of 64-bit values in a bit vector of fixed size. Members are always found; others seldom."""
+
+    BITS, CHUNK, SEEDS = 1 << 27, 1 << 20, (101, 211)
+
+    def __init__(self, bits: np.ndarray) -> None:
+        self.bits = bits
+
+    @classmethod
+    def places(cls, values: np.ndarray) -> list[np.ndarray]:
+        return [mix64(values, seed) & np.uint64(cls.BITS - 1) for seed in cls.SEEDS]
+
+    def holds(self, values: np.ndarray) -> np.ndarray:
+        """Whether each value may be a member."""
+        found = np.ones(len(values), bool)
+        for at in self.places(values):
+            found &= (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        return found
+
+    @classmethod
+    def of(cls, values: DataFrame) -> BitFilter:
+        """The filter of a one-column table of longs; tasks send parts, of fixed size in all."""
+        parts = (values.mapInArrow(_bit_places, "chunk long, body binary").repartition("chunk")
+                 .mapInArrow(_merge_bits, "chunk long, body binary"))
+        bits = np.zeros(cls.BITS >> 3, np.uint8)
+        for r in parts.collect():  # BITS bits in all, whatever the table holds
+            at = r["chunk"] * cls.CHUNK >> 3
+            bits[at:at + (cls.CHUNK >> 3)] |= np.frombuffer(r["body"], np.uint8)
+        return cls(bits)
+
+
+def _bit_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(chunk, sorted places inside it) per batch."""
+    for batch in batches:
+        values = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+        at = np.unique(np.concatenate(BitFilter.places(values)))
+        chunks, first = np.unique(at // np.uint64(BitFilter.CHUNK), return_index=True)
+        inside = (at % np.uint64(BitFilter.CHUNK)).astype(np.uint32)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(chunks.astype(np.int64)), pa.array([x.tobytes() for x in np.split(inside, first[1:])] if len(at) else [], pa.binary())],
+            ["chunk", "body"])
+
+
+def _merge_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(chunk, its bits) from the places sent by all tasks."""
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for chunk, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            held.setdefault(chunk, np.zeros(BitFilter.CHUNK, bool))[np.frombuffer(body, np.uint32)] = True
+    for chunk, bits in held.items():
+        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array(
+            [np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["chunk", "body"])
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, key: str, text: str,
                     per_class: int, max_bytes: int) -> DataFrame:
     """(key, text, y): up to ``per_class`` labelled training rows of either class.

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import quoted
-from plumbline.llm.common import CACHE_ENTRIES, hold, mix64, ngram_ids, text_batches
+from plumbline.llm.common import CACHE_ENTRIES, BitFilter, hold, mix64, ngram_ids, text_batches
 
 #: Counters of the frequency sketch, in chunks. Its size is fixed, so it may go to every task.
 SKETCH, CHUNK = 1 << 20, 1 << 14
@@ -21,6 +21,8 @@ SKETCH, CHUNK = 1 << 20, 1 << 14
 BITMAP = 8
 #: Seeds of the token orders; the first one draws the candidates, the others filter them.
 ORDERS = (11, 23, 37)
+#: A token that is in more prefixes than this goes behind all others.
+COMMON = 6
 
 
 class _Words(dict):
@@ -85,10 +87,22 @@ def prefix_length(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
+@dataclass(frozen=True)
+class _Rarity:
+    """Frequency class of a token: from the sketch, the tokens known as common last of all."""
+
+    classes: np.ndarray
+    common: BitFilter | None = None
+
+    def of(self, s: np.ndarray) -> np.ndarray:
+        level = self.classes[s & np.uint64(SKETCH - 1)]
+        return level if self.common is None else level | self.common.holds(s).astype(np.uint8) << 7
+
+
 def _prefix(s: np.ndarray, rarity: np.ndarray, seed: int, percent: int) -> np.ndarray:
     """The first tokens of a set under one order: by frequency class, then by a seeded hash."""
     p = prefix_length(len(s), percent)
-    level = rarity[s & np.uint64(SKETCH - 1)].astype(np.uint64) << np.uint64(56)
+    level = rarity.astype(np.uint64) << np.uint64(56)
     return s[np.argpartition(level | (mix64(s, seed) >> np.uint64(8)), p - 1)[:p]].view(np.int64)
 
 
@@ -103,7 +117,7 @@ def _prefixes(shingler: Shingler, percent: int, classes):
             for (k, _), s in zip(rows, shingler.sets([t for _, t in rows], known)):
                 if not len(s):
                     continue
-                prefixes.append(_prefix(s, rarity, ORDERS[0], percent))
+                prefixes.append(_prefix(s, rarity.of(s), ORDERS[0], percent))
                 bits = np.bincount((mix64(s, 5) >> np.uint64(55)).astype(np.int64), minlength=64 * BITMAP) & 1
                 maps.append(np.packbits(bits.astype(np.uint8)).view(np.int64))
                 ids.append(k)
@@ -117,14 +131,27 @@ def _prefixes(shingler: Shingler, percent: int, classes):
     return run
 
 
+def _prefix_tokens(shingler: Shingler, percent: int, rarity):
+    """The prefix tokens of every text under the first order, one by one."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Words()
+        for rows in text_batches(batches):
+            found = [_prefix(s, rarity.value.of(s), ORDERS[0], percent)
+                     for s in shingler.sets([t for _, t in rows], known) if len(s)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], ["token"])
+    return run
+
+
 def _shingle_rows(shingler: Shingler, percent: int, classes):
     """Rows (id, whole set, prefixes under the other orders)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, rarity = _Words(), classes.value
         for rows in text_batches(batches):
             sets = list(shingler.sets([t for _, t in rows], known))
+            levels = [rarity.of(s) for s in sets]
             columns = [[s.view(np.int64) for s in sets],
-                       *[[_prefix(s, rarity, seed, percent) for s in sets] for seed in ORDERS[1:]]]
+                       *[[_prefix(s, r, seed, percent) for s, r in zip(sets, levels)] for seed in ORDERS[1:]]]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), *[
                 pa.array(c, pa.list_(pa.int64())) for c in columns]], ["id", "s", "p1", "p2"])
     return run
@@ -197,8 +224,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     ignored, an empty table gives no rows.
 
     1. Equal sets are one class and go on as their smallest key.
-    2. A sketch of fixed size counts all shingles, so that every order takes rare ones first.
-       The orders differ among shingles of like frequency. Any sketch gives right results.
+    2. A sketch of fixed size counts all shingles, so that every order takes rare ones first; those
+       found in many prefixes nevertheless are put last by a filter of fixed size. The orders
+       differ among shingles of like frequency. Any sketch and filter give right results.
     3. Sets that share a prefix token under the first order are compared with the smallest
        key of that token's sets: as many pairs as sets. Sizes and bitmaps, then the prefixes
        under the other orders, strike out pairs before the whole sets are intersected.
@@ -215,13 +243,18 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     counts = np.zeros((SKETCH // CHUNK, CHUNK), np.uint64)
     for r in merged:
         counts[r["id"]] += np.frombuffer(r["counts"], np.uint64)
-    classes = spark.sparkContext.broadcast((2 * np.log2(counts.ravel() + 1.0)).astype(np.uint8))
+    rough = _Rarity((2 * np.log2(counts.ravel() + 1.0)).astype(np.uint8))
 
     signed = first.filter("kind = 0").select("id", "n", "a", "b")
     classes_of = signed.filter("n > 0").groupBy("n", "a", "b").agg(F.min("id").alias("rep"))
     member = hold(signed.join(classes_of, ["n", "a", "b"], "left").select(
         "id", "n", F.coalesce("rep", "id").alias("rep")))
     reps = member.filter("n > 0 AND id = rep").select("id").distinct()
+    # The sketch holds more tokens than counters, so some tokens pass as rare that are not. Those in
+    # many prefixes go into a filter of fixed size and come last in all orders.
+    tokens = docs.mapInArrow(_prefix_tokens(shingler, percent, spark.sparkContext.broadcast(rough)), "token long")
+    common = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") > COMMON).select("token")
+    classes = spark.sparkContext.broadcast(_Rarity(rough.classes, BitFilter.of(common)))
     schema = ", ".join(["id long", "n long", *[f"m{i} long" for i in range(BITMAP)], "p array<long>"])
     prefixes = hold(docs.mapInArrow(_prefixes(shingler, percent, classes), schema)
                     .join(reps, "id", "left_semi").dropDuplicates(["id"]))

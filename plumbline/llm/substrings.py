@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import quoted
-from plumbline.llm.common import CACHE_ENTRIES, hold, ngram_ids, text_batches
+from plumbline.llm.common import CACHE_ENTRIES, BitFilter, hold, ngram_ids, text_batches
 
 #: Words of an anchor. A window is sent to a shard by the smallest anchor hash inside it.
 ANCHOR = 6
@@ -173,7 +172,11 @@ class ShardIndex:
 
 
 def _documents(window: int):
-    """Rows (0, id, n, sha) per text and (1, id, anchor) per anchor; one met at several places twice."""
+    """Rows (0, id, n, sha) per text and (1, digest, anchor) per anchor.
+
+    The digest stands for the words of the text, so that equal texts count as one place. An
+    anchor met at several places of a text comes with a second digest.
+    """
     names = ["kind", "id", "n", "sha"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,46 +188,52 @@ def _documents(window: int):
                 _, taken = window_anchors(known.ids(words), window)
                 values, counts = np.unique(taken, return_counts=True)
                 n.append(len(words))
-                sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
-                anchors += [values, values[counts > 1]]
-                owners.append(len(values) + int((counts > 1).sum()))
+                digest = hashlib.sha256(b" ".join(words))
+                sha.append(digest.hexdigest())
+                own = int.from_bytes(digest.digest()[:8], "little", signed=True)
+                twice = values[counts > 1]
+                anchors += [values, twice]
+                owners += [np.full(len(values), own), np.full(len(twice), own ^ 1)]
             keys = pa.array([k for k, _ in rows], pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int8)), keys, pa.array(n, pa.int64()),
                                               pa.array(sha, pa.string())], names)
             found = np.concatenate(anchors).view(np.int64)
             if len(found):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.ones(len(found), np.int8)), keys.take(pa.array(np.repeat(np.arange(len(n)), owners))),
+                    [pa.array(np.ones(len(found), np.int8)), pa.array(np.concatenate(owners)),
                      pa.array(found), pa.nulls(len(found), pa.string())], names)
     return run
 
 
-def _segments(window: int):
-    """Rows of texts with repeated anchors: (0, anchor, content, start, windows, words) and the packed text."""
-    names = ["kind", "id", "anchor", "content", "start", "count", "body"]
-    kinds = [pa.int8(), *[pa.int64()] * 5, pa.binary()]
+def _segments(window: int, again):
+    """Rows (id, anchor, content, start, windows, words) of every run of windows with a repeated anchor.
+
+    A task sends the words of equal segments once, as long as it remembers them.
+    """
+    names = ["id", "anchor", "content", "start", "count", "body"]
+    kinds = [*[pa.int64()] * 5, pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Words()
-        for batch in batches:
-            wanted = batch.column("wanted")
-            for i, (k, t) in enumerate(zip(batch.column("id").to_pylist(), batch.column("t"))):
-                text = t.as_py()
+        known, sent = _Words(), set()
+        for rows in text_batches(batches):
+            out = []
+            for k, text in rows:
                 ids = known.ids(_split(text))
                 least, _ = window_anchors(ids, window)
-                here = np.isin(least.view(np.int64), wanted[i].values.to_numpy(zero_copy_only=False))
                 new = np.ones(len(least), bool)
-                new[1:] = (least[1:] != least[:-1]) | (here[1:] != here[:-1])
+                new[1:] = least[1:] != least[:-1]
                 starts = np.flatnonzero(new)
                 ends = np.append(starts[1:], len(least))
+                here = np.flatnonzero(again.value.holds(least[starts]))
                 codes = ids.view(np.uint8).reshape(-1, 8)[:, :CODE]
-                out = [(1, k, 0, 0, 0, 0, zlib.compress(text.encode("utf-8", "surrogatepass"), 1))]
-                for a, b in zip(starts.tolist(), ends.tolist()):
-                    if here[a]:
-                        body = codes[a:b + window - 1].tobytes()
-                        full = ids[a:b + window - 1].tobytes()
-                        out.append((0, k, int(least[a].view(np.int64)),
-                                    xxhash.xxh3_64_intdigest(full) - (1 << 63), a, b - a, body))
+                if len(sent) > CACHE_ENTRIES:
+                    sent.clear()
+                for a, b in zip(starts[here].tolist(), ends[here].tolist()):
+                    content = xxhash.xxh3_64_intdigest(ids[a:b + window - 1].tobytes()) - (1 << 63)
+                    body = None if content in sent else codes[a:b + window - 1].tobytes()
+                    sent.add(content)
+                    out.append((k, int(least[a].view(np.int64)), content, a, b - a, body))
+            if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
     return run
 
@@ -265,11 +274,11 @@ def _search(window: int):
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, packed text, word intervals) -> (id, kept digest, removed words, merged spans)."""
+    """(id, text, word intervals) -> (id, kept digest, removed words, merged spans)."""
     for batch in batches:
         out = []
-        for k, body, spans in zip(*(c.to_pylist() for c in batch.columns)):
-            words = _split(zlib.decompress(body).decode("utf-8", "surrogatepass"))
+        for k, text, spans in zip(*(c.to_pylist() for c in batch.columns)):
+            words = _split(text)
             change = np.zeros(len(words) + 1, np.int64)
             np.add.at(change, [s["a"] for s in spans], 1)
             np.add.at(change, [s["b"] for s in spans], -1)
@@ -297,7 +306,8 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", windo
 
     1. Texts of equal words are one: all but the smallest key lose every word.
     2. The smallest hash of the short word sequences inside a window is its anchor. Equal
-       windows have equal anchors, so only windows whose anchor occurs at two places matter.
+       windows have equal anchors, so only windows whose anchor occurs at two places matter. A bit
+       filter of fixed size holds those anchors; what it lets through besides is found single later.
     3. Runs of windows with one anchor are segments. Equal segments are one, with the place where
        they start first, so a passage copied any number of times is indexed once.
        Segments are dealt to shards by anchor; an anchor with very many different segments is
@@ -312,41 +322,42 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", windo
     groups = texts.groupBy("sha", "n").agg(F.min("id").alias("rep"))
     rows = hold(texts.join(groups, ["sha", "n"]).select("id", "n", "sha", "rep"))
     copies = hold(rows.filter("id <> rep").select("id").distinct())
-    anchors = (seen.filter("kind = 1").select("id", F.col("n").alias("anchor")).join(copies, "id", "left_anti"))
-    again = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("places")).filter("places > 1").select("anchor")
-    wanted = anchors.join(again, "anchor", "left_semi").groupBy("id").agg(F.collect_set("anchor").alias("wanted"))
-    cut = hold(docs.join(wanted, "id").select("id", "wanted", "t").mapInArrow(
-        _segments(window), "kind byte, id long, anchor long, content long, start long, count long, body binary"))
-    segments = cut.filter("kind = 0")
+    again = (seen.filter("kind = 1").groupBy(F.col("n").alias("anchor")).agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+             .filter("lo < hi").select("anchor"))
+    filtered = df.sparkSession.sparkContext.broadcast(BitFilter.of(again))
+    segments = hold(docs.mapInArrow(
+        _segments(window, filtered), "id long, anchor long, content long, start long, count long, body binary"))
     found = segments.groupBy("anchor", "content").agg(
         F.min(F.struct("id", "start")).alias("first"), F.max("count").alias("count"), F.max("body").alias("body"))
     distinct = hold(found.select(F.col("anchor").alias("route"), "content", "first.id", "first.start", "count", "body"))
     hot = hold(distinct.groupBy("route").agg(F.count(F.lit(1)).alias("n"))
                .filter(F.col("n") > HOT_SEGMENTS).select("route"))
-    pieces = [F.explode(F.expr("sequence(0L, count - 1)")).alias("i")]
     # Single windows of hot anchors: their own hash is both route and content.
-    def windows_of(rows: DataFrame) -> DataFrame:
-        body = F.substr("body", (F.col("i") * CODE + 1).cast("int"), F.lit(window * CODE))
-        return (rows.select("*", *pieces).withColumn("body", body)
-                .select(F.xxhash64("body").alias("route"), F.xxhash64("body", F.lit(1)).alias("content"), "id",
-                        (F.col("start") + F.col("i")).alias("start"), "body"))
-    single = (windows_of(distinct.join(hot, "route", "left_semi")).groupBy("route", "content")
+    piece = F.substr("body", (F.col("i") * CODE + 1).cast("int"), F.lit(window * CODE))
+    windows = (distinct.join(hot, "route", "left_semi")
+               .select("*", F.explode(F.expr("sequence(0L, count - 1)")).alias("i")).withColumn("body", piece)
+               .select(F.xxhash64("body").alias("own_route"), F.xxhash64("body", F.lit(1)).alias("own_content"),
+                       "route", "content", "i", "id", (F.col("start") + F.col("i")).alias("start"), "body"))
+    single = (windows.groupBy("own_route", "own_content")
               .agg(F.min(F.struct("id", "start")).alias("first"), F.max("body").alias("body"))
-              .select("route", "content", "first.id", "first.start", "body"))
+              .select(F.col("own_route").alias("route"), F.col("own_content").alias("content"),
+                      "first.id", "first.start", "body"))
     indexed = distinct.join(hot, "route", "left_anti").select("route", "content", "id", "start", "body").union(single)
     runs = hold(indexed.repartition("route").sortWithinPartitions("route").mapInArrow(
         _search(window), "content long, route long, offset long, count long, doc long, place long"))
-    placed = segments.select(F.col("anchor").alias("route"), "content", "id", "start", "count", "body")
-    split = windows_of(placed.join(hot, "route", "left_semi")).select("route", "content", "id", "start")
-    whole = placed.join(hot, "route", "left_anti").select("route", "content", "id", "start")
-    late = (whole.union(split).join(runs, ["route", "content"])
+    split = (windows.select("own_route", "own_content", "route", "content", "i")
+             .join(runs.drop("offset").withColumnsRenamed({"route": "own_route", "content": "own_content"}),
+                   ["own_route", "own_content"])
+             .select("content", "route", F.col("i").alias("offset"), "count", "doc", "place"))
+    placed = (segments.select(F.col("anchor").alias("route"), "content", "id", "start")
+              .join(copies, "id", "left_anti"))
+    late = (placed.join(runs.union(split), ["route", "content"])
             .filter("NOT (doc = id AND place = start + offset)")
             .select("id", (F.col("start") + F.col("offset")).alias("a"),
                     (F.col("start") + F.col("offset") + F.col("count") + F.lit(window - 1)).alias("b")))
     spans = late.groupBy("id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    packed = cut.filter("kind = 1").select("id", "body").dropDuplicates(["id"])
-    changed = hold(packed.join(spans, "id").select("id", "body", "spans").mapInArrow(
-        _apply, "id long, sha string, removed long, spans array<struct<start:long,end:long>>"))
+    changed = hold(docs.join(spans, "id").select("id", "t", "spans").mapInArrow(
+        _apply, "id long, sha string, removed long, spans array<struct<start:long,end:long>>")).dropDuplicates(["id"])
     copy = (F.col("id") != F.col("rep")) & (F.col("n") >= window)
     done = rows.join(changed.withColumnRenamed("sha", "new_sha"), "id", "left")
     everything = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n").alias("end")))

@@ -132,9 +132,12 @@ class BitFilter:
 
     def holds(self, values: np.ndarray) -> np.ndarray:
         """Whether each value may be a member."""
-        found = np.ones(len(values), bool)
-        for at in self.places(values):
-            found &= (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        live = np.arange(len(values))
+        for seed in self.SEEDS:
+            at = mix64(values[live], seed) & np.uint64(self.BITS - 1)
+            live = live[(self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+        found = np.zeros(len(values), bool)
+        found[live] = True
         return found
 
     @classmethod

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,14 +14,13 @@ from pyspark.sql import functions as F
 from plumbline.functions.columns import quoted
 from plumbline.llm.common import CACHE_ENTRIES, BitFilter, hold, mix64, ngram_ids, text_batches
 
-#: Counters of the frequency sketch, in chunks. Its size is fixed, so it may go to every task.
-SKETCH, CHUNK = 1 << 20, 1 << 14
 #: Words of 64 bits of the parity bitmap of a set.
 BITMAP = 8
 #: Seeds of the token orders; the first one draws the candidates, the others filter them.
 ORDERS = (11, 23, 37)
-#: A token that is in more prefixes than this goes behind all others.
-COMMON = 6
+#: A token among the first ones of more texts than this goes behind all others. So many times the
+#: prefix are the first tokens whose frequency is looked at.
+COMMON, LOOK = 6, 2
 
 
 class _Words(dict):
@@ -50,108 +48,73 @@ class Shingler:
             yield np.unique(mix64(ngram_ids(ids, n), n)) if n else np.empty(0, np.uint64)
 
 
-def _signatures(shingler: Shingler):
-    """Rows (kind 0: id, n, a, b) per text and (kind 1: chunk, counts) per task."""
-    names = ["kind", "id", "n", "a", "b", "counts"]
-    kinds = [pa.int8(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts = _Words(), np.zeros(SKETCH, np.uint32)
-        for rows in text_batches(batches):
-            out = []
-            for (k, _), s in zip(rows, shingler.sets([t for _, t in rows], known)):
-                np.add.at(counts, s & np.uint64(SKETCH - 1), np.uint32(1))
-                out.append((0, k, len(s), int(mix64(s, 1).sum().view(np.int64)) if len(s) else 0,
-                            int(np.bitwise_xor.reduce(mix64(s, 2)).view(np.int64)) if len(s) else 0, None))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
-        out = [(1, c, 0, 0, 0, zlib.compress(part.tobytes(), 1)) for c, part in
-               enumerate(counts.reshape(-1, CHUNK)) if part.any()]
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
-    return run
-
-
-def _merge_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            part = np.frombuffer(zlib.decompress(counts), np.uint32)
-            total[chunk] = total.get(chunk, np.zeros(CHUNK, np.uint64)) + part
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(list(total), pa.int64()), pa.array([v.tobytes() for v in total.values()], pa.binary())],
-        ["id", "counts"])
-
-
 def prefix_length(n: int, percent: int) -> int:
     """Two sets this similar share one of so many first tokens, under any common order."""
     return n - (percent * n + 99) // 100 + 1
 
 
-@dataclass(frozen=True)
-class _Rarity:
-    """Frequency class of a token: from the sketch, the tokens known as common last of all."""
-
-    classes: np.ndarray
-    common: BitFilter | None = None
-
-    def of(self, s: np.ndarray) -> np.ndarray:
-        level = self.classes[s & np.uint64(SKETCH - 1)]
-        return level if self.common is None else level | self.common.holds(s).astype(np.uint8) << 7
+def _prefix(s: np.ndarray, common: np.ndarray, seed: int, percent: int) -> np.ndarray:
+    """The first tokens of a set under one order: common ones last, else by a seeded hash."""
+    p = prefix_length(len(s), percent)
+    order = common.astype(np.uint64) << np.uint64(63) | (mix64(s, seed) >> np.uint64(1))
+    return s[np.argpartition(order, p - 1)[:p]].view(np.int64)
 
 
-def _prefix(s: np.ndarray, rarity: np.ndarray, seed: int, percent: int) -> np.ndarray:
-    """The first tokens of a set under one order: by frequency class, then by a seeded hash."""
-    p = prefix_length(len(s), percent)
-    level = rarity.astype(np.uint64) << np.uint64(56)
-    return s[np.argpartition(level | (mix64(s, seed) >> np.uint64(8)), p - 1)[:p]].view(np.int64)
+def _first_tokens(shingler: Shingler, percent: int):
+    """The first tokens of every text by the hash of the first order alone, one by one."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Words()
+        for rows in text_batches(batches):
+            found = []
+            for s in shingler.sets([t for _, t in rows], known):
+                p = min(len(s), LOOK * prefix_length(len(s), percent)) if len(s) else 0
+                if p:
+                    found.append(s[np.argpartition(mix64(s, ORDERS[0]), p - 1)[:p]].view(np.int64))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], ["token"])
+    return run
 
 
-def _prefixes(shingler: Shingler, percent: int, classes):
-    """Rows (id, n, bitmap, prefix under the first order)."""
-    names = ["id", "n", *[f"m{i}" for i in range(BITMAP)], "p"]
+def _signatures(shingler: Shingler, percent: int, common):
+    """Rows (id, n, two digests, bitmap, prefix under the first order), one per text."""
+    names = ["id", "n", "a", "b", *[f"m{i}" for i in range(BITMAP)], "p"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, rarity = _Words(), classes.value
+        known, none = _Words(), np.empty(0, np.int64)
         for rows in text_batches(batches):
-            ids, sizes, maps, prefixes = [], [], [], []
+            numbers, prefixes = [], []
             for (k, _), s in zip(rows, shingler.sets([t for _, t in rows], known)):
-                if not len(s):
-                    continue
-                prefixes.append(_prefix(s, rarity.of(s), ORDERS[0], percent))
                 bits = np.bincount((mix64(s, 5) >> np.uint64(55)).astype(np.int64), minlength=64 * BITMAP) & 1
-                maps.append(np.packbits(bits.astype(np.uint8)).view(np.int64))
-                ids.append(k)
-                sizes.append(len(s))
-            if ids:
-                stacked = np.stack(maps)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()),
-                     *[pa.array(stacked[:, i]) for i in range(BITMAP)],
-                     pa.array(prefixes, pa.list_(pa.int64()))], names)
+                digests = np.array([mix64(s, 1).sum(), np.bitwise_xor.reduce(mix64(s, 2))], np.uint64).view(np.int64)
+                numbers.append(np.concatenate([[k, len(s)], digests, np.packbits(bits.astype(np.uint8)).view(np.int64)]))
+                prefixes.append(_prefix(s, common.value.holds(s), ORDERS[0], percent) if len(s) else none)
+            stacked = np.stack(numbers)
+            yield pa.RecordBatch.from_arrays([*[pa.array(stacked[:, i]) for i in range(stacked.shape[1])],
+                                              pa.array(prefixes, pa.list_(pa.int64()))], names)
     return run
 
 
-def _prefix_tokens(shingler: Shingler, percent: int, rarity):
-    """The prefix tokens of every text under the first order, one by one."""
+def _postings(repeated):
+    """(id, prefix) -> (id, token) of the tokens that may be in several prefixes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Words()
-        for rows in text_batches(batches):
-            found = [_prefix(s, rarity.value.of(s), ORDERS[0], percent)
-                     for s in shingler.sets([t for _, t in rows], known) if len(s)]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], ["token"])
+        for batch in batches:
+            p = batch.column(1)
+            tokens = p.flatten().to_numpy(zero_copy_only=False)
+            ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), p.value_lengths().to_numpy(zero_copy_only=False))
+            keep = repeated.value.holds(tokens.view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(tokens[keep])], ["id", "token"])
     return run
 
 
-def _shingle_rows(shingler: Shingler, percent: int, classes):
+def _shingle_rows(shingler: Shingler, percent: int, common):
     """Rows (id, whole set, prefixes under the other orders)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, rarity = _Words(), classes.value
+        known = _Words()
         for rows in text_batches(batches):
             sets = list(shingler.sets([t for _, t in rows], known))
-            levels = [rarity.of(s) for s in sets]
+            last = [common.value.holds(s) for s in sets]
             columns = [[s.view(np.int64) for s in sets],
-                       *[[_prefix(s, r, seed, percent) for s, r in zip(sets, levels)] for seed in ORDERS[1:]]]
+                       *[[_prefix(s, c, seed, percent) for s, c in zip(sets, last)] for seed in ORDERS[1:]]]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), *[
                 pa.array(c, pa.list_(pa.int64())) for c in columns]], ["id", "s", "p1", "p2"])
     return run
@@ -178,9 +141,9 @@ def components(links: DataFrame) -> DataFrame:
 class _Search:
     """Filters and verification over the representatives of equal sets."""
 
-    def __init__(self, docs: DataFrame, shingler: Shingler, percent: int, classes, prefixes: DataFrame) -> None:
-        self.docs, self.percent, self.small = docs, percent, prefixes.drop("p")
-        self.rows = _shingle_rows(shingler, percent, classes)
+    def __init__(self, docs: DataFrame, shingler: Shingler, percent: int, common, small: DataFrame) -> None:
+        self.docs, self.percent, self.small = docs, percent, small
+        self.rows = _shingle_rows(shingler, percent, common)
 
     def alike(self, x: str, y: str) -> Column:
         """Sizes and parity bitmaps allow the similarity.
@@ -202,9 +165,8 @@ class _Search:
         """The pairs that share prefix tokens under all the other orders too and whose whole
         sets are similar enough."""
         wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        sets = hold(self.docs.join(wanted, "id", "left_semi").select("id", "t")
-                    .mapInArrow(self.rows, "id long, s array<long>, p1 array<long>, p2 array<long>")
-                    .dropDuplicates(["id"]))
+        sets = hold(self.docs.join(wanted, "id", "left_semi").select("id", "t").dropDuplicates(["id"])
+                    .mapInArrow(self.rows, "id long, s array<long>, p1 array<long>, p2 array<long>"))
         x, y = sets.alias("x"), sets.alias("y")
         common = (pairs.join(x, F.expr("a = x.id")).join(y, F.expr("b = y.id"))
                   .filter("arrays_overlap(x.p1, y.p1) AND arrays_overlap(x.p2, y.p2)").select(
@@ -224,9 +186,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     ignored, an empty table gives no rows.
 
     1. Equal sets are one class and go on as their smallest key.
-    2. A sketch of fixed size counts all shingles, so that every order takes rare ones first; those
-       found in many prefixes nevertheless are put last by a filter of fixed size. The orders
-       differ among shingles of like frequency. Any sketch and filter give right results.
+    2. Tokens that are among the first ones of many texts come last in all orders; a bit filter
+       of fixed size tells which. The orders differ in the hash of a token. Any filter gives
+       right results.
     3. Sets that share a prefix token under the first order are compared with the smallest
        key of that token's sets: as many pairs as sets. Sizes and bitmaps, then the prefixes
        under the other orders, strike out pairs before the whole sets are intersected.
@@ -236,31 +198,25 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     spark = df.sparkSession
     docs = df.select(quoted(key).cast("long").alias("id"), quoted(text).alias("t"))
     shingler = Shingler(words)
-    first = hold(docs.mapInArrow(_signatures(shingler), "kind byte, id long, n long, a long, b long, counts binary"))
-    merged = (first.filter("kind = 1").select("id", "counts").repartition("id")
-              .mapInArrow(_merge_counts, "id long, counts binary").collect())
-    # At most SKETCH / CHUNK rows, SKETCH numbers in all, whatever the table holds.
-    counts = np.zeros((SKETCH // CHUNK, CHUNK), np.uint64)
-    for r in merged:
-        counts[r["id"]] += np.frombuffer(r["counts"], np.uint64)
-    rough = _Rarity((2 * np.log2(counts.ravel() + 1.0)).astype(np.uint8))
-
-    signed = first.filter("kind = 0").select("id", "n", "a", "b")
+    tokens = docs.mapInArrow(_first_tokens(shingler, percent), "token long").groupBy("token")
+    often = tokens.agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") > COMMON).select("token")
+    common = spark.sparkContext.broadcast(BitFilter.of(often))
+    schema = ", ".join(["id long", "n long", "a long", "b long", *[f"m{i} long" for i in range(BITMAP)], "p array<long>"])
+    signed = hold(docs.mapInArrow(_signatures(shingler, percent, common), schema))
     classes_of = signed.filter("n > 0").groupBy("n", "a", "b").agg(F.min("id").alias("rep"))
-    member = hold(signed.join(classes_of, ["n", "a", "b"], "left").select(
+    member = hold(signed.select("id", "n", "a", "b").join(classes_of, ["n", "a", "b"], "left").select(
         "id", "n", F.coalesce("rep", "id").alias("rep")))
-    reps = member.filter("n > 0 AND id = rep").select("id").distinct()
-    # The sketch holds more tokens than counters, so some tokens pass as rare that are not. Those in
-    # many prefixes go into a filter of fixed size and come last in all orders.
-    tokens = docs.mapInArrow(_prefix_tokens(shingler, percent, spark.sparkContext.broadcast(rough)), "token long")
-    common = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") > COMMON).select("token")
-    classes = spark.sparkContext.broadcast(_Rarity(rough.classes, BitFilter.of(common)))
-    schema = ", ".join(["id long", "n long", *[f"m{i} long" for i in range(BITMAP)], "p array<long>"])
-    prefixes = hold(docs.mapInArrow(_prefixes(shingler, percent, classes), schema)
-                    .join(reps, "id", "left_semi").dropDuplicates(["id"]))
-    search = _Search(docs, shingler, percent, classes, prefixes)
-
-    postings = prefixes.select("id", F.explode("p").alias("token"))
+    copies = member.filter("id <> rep").select("id").distinct()
+    alone = signed.filter("n > 0").join(copies, "id", "left_anti")
+    small = hold(alone.select("id", "n", *[f"m{i}" for i in range(BITMAP)]).dropDuplicates(["id"]))
+    search = _Search(docs, shingler, percent, common, small)
+
+    prefixes = signed.filter("n > 0").select("id", "p")
+    twice = (prefixes.select(F.explode("p").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+             .filter("df > 1").select("token"))
+    repeated = spark.sparkContext.broadcast(BitFilter.of(twice))
+    postings = hold(prefixes.mapInArrow(_postings(repeated), "id long, token long")
+                    .join(copies, "id", "left_anti").distinct())
     hubs = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("id").alias("hub")).filter("df > 1")
     shared = hold(postings.join(hubs.select("token", "hub"), "token"))
     stars = shared.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()

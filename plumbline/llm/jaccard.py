@@ -106,6 +106,14 @@ def _postings(repeated):
     return run
 
 
+def _only(ids):
+    """The rows whose first column is in a filter."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(ids.value.holds(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))))
+    return run
+
+
 def _shingle_rows(shingler: Shingler, percent: int, common):
     """Rows (id, whole set, prefixes under the other orders)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +173,9 @@ class _Search:
         """The pairs that share prefix tokens under all the other orders too and whose whole
         sets are similar enough."""
         wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        sets = hold(self.docs.join(wanted, "id", "left_semi").select("id", "t").dropDuplicates(["id"])
+        # The filter lets through all wanted texts and few others, so the rest are never shuffled.
+        ids = self.docs.sparkSession.sparkContext.broadcast(BitFilter.of(wanted))
+        sets = hold(self.docs.mapInArrow(_only(ids), "id long, t string").dropDuplicates(["id"])
                     .mapInArrow(self.rows, "id long, s array<long>, p1 array<long>, p2 array<long>"))
         x, y = sets.alias("x"), sets.alias("y")
         common = (pairs.join(x, F.expr("a = x.id")).join(y, F.expr("b = y.id"))

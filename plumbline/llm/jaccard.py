@@ -83,13 +83,13 @@ def _signatures(shingler: Shingler, percent: int, common):
         known, none = _Words(), np.empty(0, np.int64)
         for rows in text_batches(batches):
             numbers, prefixes = [], []
-            for (k, _), s in zip(rows, shingler.sets([t for _, t in rows], known)):
+            for s in shingler.sets([t for _, t in rows], known):
                 bits = np.bincount((mix64(s, 5) >> np.uint64(55)).astype(np.int64), minlength=64 * BITMAP) & 1
                 digests = np.array([mix64(s, 1).sum(), np.bitwise_xor.reduce(mix64(s, 2))], np.uint64).view(np.int64)
-                numbers.append(np.concatenate([[k, len(s)], digests, np.packbits(bits.astype(np.uint8)).view(np.int64)]))
+                numbers.append(np.concatenate([[len(s)], digests, np.packbits(bits.astype(np.uint8)).view(np.int64)]))
                 prefixes.append(_prefix(s, common.value.holds(s), ORDERS[0], percent) if len(s) else none)
             stacked = np.stack(numbers)
-            yield pa.RecordBatch.from_arrays([*[pa.array(stacked[:, i]) for i in range(stacked.shape[1])],
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), *[pa.array(stacked[:, i]) for i in range(stacked.shape[1])],
                                               pa.array(prefixes, pa.list_(pa.int64()))], names)
     return run
 
@@ -100,9 +100,9 @@ def _postings(repeated):
         for batch in batches:
             p = batch.column(1)
             tokens = p.flatten().to_numpy(zero_copy_only=False)
-            ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), p.value_lengths().to_numpy(zero_copy_only=False))
+            rows = np.repeat(np.arange(len(p)), p.value_lengths().to_numpy(zero_copy_only=False))
             keep = repeated.value.holds(tokens.view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(tokens[keep])], ["id", "token"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows[keep])), pa.array(tokens[keep])], ["id", "token"])
     return run
 
 
@@ -110,7 +110,7 @@ def _only(ids):
     """The rows whose first column is in a filter."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(ids.value.holds(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))))
+            yield batch.filter(pa.array(ids.value.holds(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64))))
     return run
 
 

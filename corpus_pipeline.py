@@ -41,10 +41,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample whose tokens follow tempered shares of source, language and topic."""
-    measured = docs.withColumns({"__topic": mixing.topic_of(F.col("text")), "__tokens": mixing.token_weight(F.col("text"))})
-    mixed = mixing.sample_to_targets(measured, ["source", "lang", "__topic"], "doc_id", "__tokens",
-                                     power=POWER, rounds=ROUNDS)
-    return mixed.filter("kept").select(docs.columns)
+    whole = docs.select(F.struct("*").alias("row")).select(
+        "row", F.col("row.doc_id").alias("key"), F.col("row.source").alias("source"), F.col("row.lang").alias("lang"),
+        mixing.topic_of(F.col("row.text")).alias("topic"), mixing.token_weight(F.col("row.text")).alias("tokens"))
+    mixed = mixing.sample_to_targets(whole, ["source", "lang", "topic"], "key", "tokens", power=POWER, rounds=ROUNDS)
+    return mixed.filter("kept").select("row.*")
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -78,8 +78,8 @@ def group_equal_texts(df: DataFrame, key: str = "doc_id", text: str = "text",
 
     Texts are equal when they agree after ``normalize`` (default: no change); null counts
     as empty. Of equal texts the row with the ``largest`` (or ``smallest``) key stays; rows
-    that share a key and a text are all marked alike. ``key`` is a whole number without
-    nulls. Extra columns are ignored; an empty table gives an empty table.
+    that share a key and a text are all marked alike. ``key`` is a whole number; a row
+    without one is a group of its own and stays. Extra columns are ignored; an empty table gives an empty table.
 
     The rows are dealt to ranges by sampled splitters over (text prefix, digest, key).
     The key in the splitters lets a text held by any share of the rows spread over many
@@ -96,7 +96,7 @@ def group_equal_texts(df: DataFrame, key: str = "doc_id", text: str = "text",
     rows = rows.withColumns({"head": F.substring("t", 1, SPLITTER_CHARS), "sha": F.sha2("t", 256),
                              "rank": sign * F.col("id")})
     order = ["head", "sha", "rank"]
-    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt = rows.filter("id IS NOT NULL").repartitionByRange(*order).sortWithinPartitions(*order)
     runs = hold(dealt.select("id", "t", "sha", F.spark_partition_id().cast("long").alias("part"))
                 .mapInArrow(_runs, "id long, sha string, keep long, size long, part long, edge boolean"))
     best = F.max if keep == "largest" else F.min
@@ -105,6 +105,8 @@ def group_equal_texts(df: DataFrame, key: str = "doc_id", text: str = "text",
     inner = runs.filter("NOT edge").select("id", "sha", "keep", "size")
     outer = runs.filter("edge").join(ends, "sha").select("id", "sha", F.col("all_keep").alias("keep"),
                                                         F.col("all_size").alias("size"))
-    return inner.unionByName(outer).select(
+    # The filter reaches the scan, which skips all row groups without such rows.
+    keyless = rows.filter("id IS NULL").select("id", "sha", F.col("id").alias("keep"), F.lit(1).cast("long").alias("size"))
+    return inner.unionByName(outer).unionByName(keyless).select(
         F.col("id").alias(key), F.col("keep").alias("keep_id"), F.col("size").alias("group_size"),
-        (F.col("id") == F.col("keep")).alias("kept"), F.col("sha").alias("text_sha256"))
+        F.col("id").eqNullSafe(F.col("keep")).alias("kept"), F.col("sha").alias("text_sha256"))

@@ -35,8 +35,8 @@ def token_weight(text: Column) -> Column:
 
 
 def uniform(key: Column) -> Column:
-    """A fixed number in [0, 1) per key: 32 bits of its digest."""
-    return F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    """A fixed number in [0, 1) per key: 32 bits of its digest; rows without a key share one."""
+    return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
 def tempered_targets(cells: DataFrame, dims: Sequence[str], power: float) -> dict[str, DataFrame]:
@@ -132,5 +132,5 @@ WITH lowered AS (SELECT doc_id, coalesce(source, chr(0) || 'null') AS source, co
      final AS (SELECT source, lang, topic, round(weight, {DIGITS}) AS weight,
                round(weight / tokens / max(weight / tokens) OVER (), {DIGITS}) AS probability FROM {last})
 SELECT doc_id, source, lang, topic, CAST(n_tokens AS BIGINT) AS n_tokens, weight, probability,
-       CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0 < probability AS kept
+       CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) / 4294967296.0 < probability AS kept
 FROM rows_ JOIN final USING (source, lang, topic)"""

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import sys
+from itertools import count
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -19,10 +20,27 @@ from pyspark.sql.types import DoubleType
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
+#: From this parameter on the expansions for large arguments are used: the sums would lose digits there.
+LARGE = 1e6
+
+
+def _gamma_upper_large(a: float, x: float) -> float:
+    """First two terms of the uniform expansion of Q(a, x); the error is below 1e-9 from LARGE on."""
+    mu = (x - a) / a
+    # mu - log1p(mu) cancels near 0, where its series takes over.
+    half = mu * mu * (1 / 2 - mu * (1 / 3 - mu * (1 / 4 - mu * (1 / 5 - mu / 6)))) if abs(mu) < 1e-2 else mu - math.log1p(mu)
+    eta = math.copysign(math.sqrt(2 * half), mu)
+    bend = 1 / mu - 1 / eta if abs(mu) > 1e-4 else -1 / 3 + mu / 12
+    rest = math.exp(-a * half) / math.sqrt(2 * math.pi * a) * bend
+    return min(1.0, max(0.0, 0.5 * math.erfc(eta * math.sqrt(a / 2)) + rest))
+
+
 def gamma_upper(a: float, x: float) -> float:
     """Regularized upper incomplete gamma function Q(a, x)."""
     if x <= 0:
         return 1.0
+    if a >= LARGE:
+        return _gamma_upper_large(a, x)
     front = math.exp(-x + a * math.log(x) - math.lgamma(a))
     if x < a + 1:
         term = total = 1.0 / a
@@ -37,7 +55,7 @@ def gamma_upper(a: float, x: float) -> float:
     c = 1 / tiny
     d = 1 / b
     h = d
-    for i in range(1, 10_000):
+    for i in count(1):
         an = -i * (i - a)
         b += 2
         d = 1 / (an * d + b or tiny)
@@ -61,7 +79,7 @@ def beta_lower(a: float, b: float, x: float) -> float:
     tiny = 1e-300
     c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1) or tiny)
     h = d
-    for m in range(1, 10_000):
+    for m in count(1):
         for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
                     -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
             d = 1 / (1 + num * d or tiny)
@@ -73,6 +91,8 @@ def beta_lower(a: float, b: float, x: float) -> float:
 
 
 def t_two_sided(t: float, dof: float) -> float:
+    if dof >= LARGE:  # normal with the first correction for the degrees of freedom
+        return normal_two_sided(t * (1 - 1 / (4 * dof)) / math.sqrt(1 + t * t / (2 * dof)))
     return beta_lower(dof / 2, 0.5, dof / (dof + t * t))
 
 

@@ -13,45 +13,46 @@ from plumbline.operators.models import ModelSpec, fit, in_parallel, score, _unio
 from plumbline.operators.stats import rank_features
 from plumbline.session import materialize
 
-#: Rows permuted together; larger tables are cut into random blocks of about this size.
-BLOCK_ROWS = 200_000
+#: Buckets of the hash order that are sorted by themselves; no result depends on their number.
+BUCKETS = 1 << 16
 
 
 def permuted_variants(df: DataFrame, cols: Sequence[str], ids: Sequence[str], repeats: int = 5,
-                      seed: int = 42, block_rows: int = BLOCK_ROWS) -> DataFrame:
+                      seed: int = 42, buckets: int = BUCKETS) -> DataFrame:
     """One copy of the rows per (column, repeat) with that column permuted.
 
     Rows are put in a random order by key hash and take the value of the next row, the
-    last one that of the first. Blocks are random too, so permuting inside them breaks
-    the relation to the label just as a global shuffle would, without a global sort.
+    last one that of the first. Ranges of the hash are sorted apart; the last row of a range
+    takes the first value of the next range that has rows, so it is one order over the whole
+    table without a global sort.
     """
-    blocks = max(1, -(-df.count() // block_rows))
     variants = F.array(*[F.struct(F.lit(c).alias("permuted"), F.lit(r).alias("repeat"))
                          for c in cols for r in range(repeats)])
     key = F.xxhash64(F.lit(seed), F.col("repeat"), F.col("permuted"), *[quoted(i) for i in ids])
     long = df.select("*", F.inline(variants)).withColumn("__order", key).withColumn(
-        "__block", F.pmod(F.xxhash64(F.col("__order"), F.lit(1)), F.lit(blocks)))
-    group = Window.partitionBy("permuted", "repeat", "__block")
-    order = group.orderBy("__order", *[quoted(i) for i in ids])
-
-    def moved(c: str):
-        first = F.first(quoted(c)).over(order)
-        last = F.row_number().over(order) == F.count(F.lit(1)).over(group)
-        return F.when(last, first).otherwise(F.lead(quoted(c)).over(order))
-
-    swapped = {c: F.when(F.col("permuted") == c, moved(c)).otherwise(quoted(c)) for c in cols}
-    return long.withColumns(swapped).drop("__order", "__block")
+        "__bucket", F.floor(F.col("__order") / F.lit(2.0 ** 64) * F.lit(buckets)))
+    group, values = ["permuted", "repeat", "__bucket"], F.struct(*[quoted(c) for c in cols])
+    place = F.struct("__order", *[quoted(i) for i in ids])
+    # One row per bucket; at most ``buckets`` of them meet in a window.
+    ring = Window.partitionBy("permuted", "repeat").orderBy("__bucket")
+    follow = long.groupBy(*group).agg(F.min_by(values, place).alias("__first")).select(
+        *group, F.coalesce(F.lead("__first").over(ring), F.first("__first").over(ring)).alias("__follow"))
+    after = F.lead(values).over(Window.partitionBy(*group).orderBy("__order", *[quoted(i) for i in ids]))
+    placed = long.withColumn("__after", after).join(follow, group)
+    taken = F.coalesce("__after", "__follow")
+    swapped = {c: F.when(F.col("permuted") == c, taken[c]).otherwise(quoted(c)) for c in cols}
+    return placed.withColumns(swapped).drop("__order", "__bucket", "__after", "__follow")
 
 
 def permutation_importance(df: DataFrame, model, cols: Sequence[str], ids: Sequence[str], repeats: int = 5,
-                           seed: int = 42, label: str = "y", block_rows: int = BLOCK_ROWS) -> DataFrame:
+                           seed: int = 42, label: str = "y", buckets: int = BUCKETS) -> DataFrame:
     """AUC drop after permuting one source column: mean and std over repeats.
 
     All (column, repeat) variants are scored and evaluated in one job.
     """
     keep = ["permuted", "repeat", quoted(label).cast("int").alias("y"), "p"]
     plain = df.withColumn("permuted", F.lit(None).cast("string")).withColumn("repeat", F.lit(0))
-    variants = permuted_variants(df, cols, ids, repeats, seed, block_rows)
+    variants = permuted_variants(df, cols, ids, repeats, seed, buckets)
     # Scores are written once: filters pushed below them would run the model again.
     pred = materialize(score(plain, model).select(*keep).unionByName(score(variants, model).select(*keep)))
     auc = ranking_metrics(pred, ["permuted", "repeat"])

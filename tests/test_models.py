@@ -152,7 +152,10 @@ def test_calibrators(spark):
 
 
 def test_permutation(data, fitted):
-    v = importance.permuted_variants(data, ["x"], IDS, 2, block_rows=50).toPandas()
+    v = importance.permuted_variants(data, ["x"], IDS, 2, buckets=50).toPandas()
+    one = importance.permuted_variants(data, ["x"], IDS, 2, buckets=1).toPandas()
+    order = ["repeat", "id"]
+    assert v.sort_values(order).x.fillna(-9).tolist() == one.sort_values(order).x.fillna(-9).tolist()
     base = data.toPandas().set_index("id").x.sort_index()
     for _, g in v.groupby("repeat"):
         moved = g.set_index("id").x.sort_index()

@@ -24,3 +24,15 @@ def test_normal_and_kolmogorov():
     assert tails.kolmogorov_upper(1.3580986393225505) == pytest.approx(0.05, rel=1e-6)
     assert tails.kolmogorov_upper(0.0) == 1.0
     assert tails.beta_lower(2, 3, 0.4) == pytest.approx(0.5248, rel=1e-9)
+
+
+@pytest.mark.parametrize("x", [1e6, 1e6 + 50, 1e6 + 2000, 1e6 - 1500, 1.005e6])
+def test_expansions_for_large_arguments_agree_with_the_sums(monkeypatch, x):
+    large, t = tails.gamma_upper(1e6, x), tails.t_two_sided(2.0, 1e6)
+    monkeypatch.setattr(tails, "LARGE", 1e99)
+    assert large == pytest.approx(tails.gamma_upper(1e6, x), rel=1e-5, abs=1e-9)
+    assert t == pytest.approx(tails.t_two_sided(2.0, 1e6), rel=1e-8)
+
+
+def test_student_t_with_very_many_degrees_of_freedom():
+    assert tails.t_two_sided(2.0, 1e12) == pytest.approx(0.0455002638963584, rel=1e-9)

@@ -76,7 +76,8 @@ def s7(spark: Spark, sf: str) -> DataFrame:
     return plain.select(F.get_json_object("json", "$.o_orderkey").cast("long").alias("id"), "json")
 
 
-@query("s8_load_evidence")
+@query("s8_load_evidence", f"""WITH {d.OC} SELECT 'classes' AS name, TRUE AS required, TRUE AS available, count(DISTINCT status) AS rows FROM oc
+UNION ALL SELECT 'target', TRUE, TRUE, 1 UNION ALL SELECT 'absent', FALSE, FALSE, 0""", longs="rows")
 def s8(spark: Spark, sf: str) -> DataFrame:
     root = _scratch(spark)
     oc = d.orders_customers(spark, sf)
@@ -115,12 +116,12 @@ def p2(spark: Spark, sf: str) -> DataFrame:
     return contract.audit_schema(d.messy_orders(spark, sf))
 
 
-@query("p5_encode_target_strict", "SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS y "
-       "FROM orders WHERE o_orderstatus <> 'P'", longs="id y")
+@query("p5_encode_target_strict", "SELECT l_orderkey AS id, l_linenumber AS line, CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END AS y "
+       "FROM lineitem", longs="id line y")
 def p5(spark: Spark, sf: str) -> DataFrame:
-    o = d.table(spark, sf, "orders").filter(F.col("o_orderstatus") != "P")
-    padded = o.withColumn("o_orderstatus", F.concat(F.lit(" "), F.lower("o_orderstatus"), F.lit(" ")))
-    return contract.encode_target_strict(padded, "o_orderstatus", "F", "O").select(F.col("o_orderkey").alias("id"), "y")
+    padded = d.table(spark, sf, "lineitem").withColumn("l_linestatus", F.concat(F.lit(" "), F.lower("l_linestatus"), F.lit(" ")))
+    return contract.encode_target_strict(padded, "l_linestatus", "F", "O").select(
+        F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), "y")
 
 
 @query("p5_unexpected_targets", "SELECT o_orderstatus AS value, count(*) AS count FROM orders "

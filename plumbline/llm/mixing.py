@@ -73,19 +73,42 @@ def rake(cells: DataFrame, dims: Sequence[str], targets: dict[str, DataFrame], r
     return fitted.drop(*[f"__{d}" for d in dims])
 
 
+def budget_scale(budget: float) -> Column:
+    """The c for which min(1, c * ``__r``) keeps a share ``budget`` of all ``tokens``; on the cell table.
+
+    The kept tokens are the least, over k, of the tokens of the k cells with the greatest ratio
+    plus c times the weight of the others, so c is the greatest of the solutions for each k.
+    Where every cell that has a weight must stay whole, the last of them sets c.
+    """
+    whole = Window.partitionBy(F.lit(0))
+    falling = whole.orderBy(F.desc("__r"))
+    before = F.sum("tokens").over(falling) - F.sum("tokens").over(falling.rangeBetween(Window.currentRow, Window.currentRow))
+    rest = F.sum("weight").over(falling.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    want = F.lit(float(budget)) * F.sum("tokens").over(whole)
+    c = F.when(F.col("__r") > 0, F.least(F.try_divide(want - before, rest), F.lit(1.0) / F.col("__r")))
+    return F.max(c).over(whole)
+
+
 def sample_to_targets(df: DataFrame, dims: Sequence[str], key: str, tokens: str,
                       targets: dict[str, DataFrame] | None = None, power: float = 0.7,
-                      rounds: int = 12) -> DataFrame:
+                      rounds: int = 12, budget: float | None = None) -> DataFrame:
     """Add ``weight``, ``probability`` and ``kept`` to every row; ``tokens`` names a count column.
 
-    A cell's probability is its raked weight over its tokens, scaled so that the greatest one
-    is 1: nothing is repeated, and in expectation the kept tokens have exactly the fitted
-    shares. A row is kept if its key's fixed uniform number lies below its probability, so the
-    outcome depends on neither order nor partitions; repeated rows share their fate. Without
+    A cell's probability is its raked weight over its tokens times a scale. Without ``budget``
+    the scale makes the greatest probability 1: in expectation the kept tokens have exactly the
+    fitted shares, but the cell with the greatest ratio, however small, decides how much of all
+    others stays. With ``budget``, the share of all tokens to keep, the scale is solved from the
+    cell table so that the probabilities, none above 1, keep that share in expectation: cells
+    that would need more than they have stay whole and the others keep the fitted shares among
+    themselves. Nothing is repeated. A row is kept if its key's fixed uniform number lies below
+    its probability, so the outcome depends on neither order nor partitions; repeated rows share
+    their fate. Without
     ``targets``, the token shares to the power ``power`` are the marginals, which lifts small
     sources and lowers large ones. Null values form a value of their own. Null tokens count
     as 0. An empty table stays empty. Existing columns of the three names are replaced.
     """
+    if budget is not None and not 0 < budget <= 1:
+        raise ValueError(f"budget {budget} is no share in (0, 1]")
     rows = df.drop("weight", "probability", "kept")
     names = [f"__d{i}" for i in range(len(dims))]
     keyed = rows.withColumns({n: F.coalesce(quoted(d).cast("string"), F.lit("\x00null"))
@@ -93,13 +116,15 @@ def sample_to_targets(df: DataFrame, dims: Sequence[str], key: str, tokens: str,
     cells = hold(keyed.groupBy(*names).agg(F.coalesce(F.sum(quoted(tokens)), F.lit(0)).alias("tokens")))
     goal = ({n: targets[d].select(F.coalesce(quoted(d).cast("string"), F.lit("\x00null")).alias(n), "target")
              for n, d in zip(names, dims)} if targets else tempered_targets(cells, names, power))
-    fitted = rake(cells, names, goal, rounds)
-    whole = Window.partitionBy(F.lit(0))
     ratio = F.coalesce(F.try_divide(F.col("weight"), F.col("tokens")), F.lit(0.0))
-    table = hold(fitted.withColumn("__r", ratio).select(
+    fitted = rake(cells, names, goal, rounds).withColumn("__r", ratio)
+    if budget is None:
+        scaled = F.try_divide(F.col("__r"), F.max("__r").over(Window.partitionBy(F.lit(0))))
+    else:
+        fitted, scaled = fitted.withColumn("__c", budget_scale(budget)), F.least(F.lit(1.0), F.col("__c") * F.col("__r"))
+    table = hold(fitted.select(
         *names, F.round("weight", DIGITS).alias("weight"),
-        F.round(F.coalesce(F.try_divide(F.col("__r"), F.max("__r").over(whole)), F.lit(0.0)), DIGITS)
-        .alias("probability")))
+        F.round(F.coalesce(scaled, F.lit(0.0)), DIGITS).alias("probability")))
     # The size of this table is known by now, so the planner broadcasts it only if it is small.
     out = keyed.join(table, names).drop(*names)
     return out.withColumn("kept", uniform(quoted(key)) < F.col("probability"))

@@ -26,6 +26,12 @@ from plumbline.operators.metrics import ranking_metrics, threshold_metrics, with
 from plumbline.session import materialize
 
 
+#: The deepest tree that Spark grows.
+DEEPEST = 30
+#: Candidates whose fits and predictions are held at the same time.
+CANDIDATES_AT_ONCE = 8
+
+
 @dataclass(frozen=True)
 class ModelSpec:
     """A classifier family with its parameters and feature roles."""
@@ -55,7 +61,7 @@ def logistic(name: str, nums: Sequence[str], cats: Sequence[str] = (), C: float
 
 
 def random_forest(name: str, nums: Sequence[str], cats: Sequence[str] = (), trees: int = 400,
-                  depth: int = 20, min_leaf: int = 10, balanced: bool = True, **params) -> ModelSpec:
+                  depth: int = DEEPEST, min_leaf: int = 10, balanced: bool = True, **params) -> ModelSpec:
     """Random forest with sqrt feature sampling."""
     return ModelSpec(name, "forest", tuple(nums), tuple(cats),
                      {"numTrees": trees, "maxDepth": depth, "minInstancesPerNode": min_leaf, **params},
@@ -80,7 +86,7 @@ def _estimator(spec: ModelSpec, rows: int, seed: int):
         return LogisticRegression(regParam=reg, elasticNetParam=0.0, standardization=False,
                                   **{"maxIter": 200, **params}, **common)
     if spec.family == "forest":
-        return RandomForestClassifier(featureSubsetStrategy="sqrt", seed=seed, **params, **common)
+        return RandomForestClassifier(seed=seed, **{"featureSubsetStrategy": "sqrt", **params}, **common)
     if spec.family == "gbt":
         return GBTClassifier(seed=seed, **params, **common)
     raise ValueError(f"unknown family {spec.family}")
@@ -194,12 +200,13 @@ def rows_without_prediction(df: DataFrame, pred: DataFrame, ids: Sequence[str])
 
 
 def grid(spec: ModelSpec, options: dict[str, Sequence]) -> list[ModelSpec]:
-    """Every combination of parameter values as a named candidate."""
+    """Every combination of parameter values as a named candidate; ``balanced`` varies the class weights."""
     names = list(options)
     out = []
     for values in product(*[options[n] for n in names]):
         chosen = dict(zip(names, values))
-        out.append(replace(spec, name=f"{spec.name} {json.dumps(chosen, sort_keys=True)}",
+        name = f"{spec.name} {json.dumps(chosen, sort_keys=True)}"
+        out.append(replace(spec, name=name, balanced=chosen.pop("balanced", spec.balanced),
                            params={**spec.params, **chosen}))
     return out
 
@@ -207,7 +214,8 @@ def grid(spec: ModelSpec, options: dict[str, Sequence]) -> list[ModelSpec]:
 def evaluate_candidates(df: DataFrame, candidates: Sequence[ModelSpec], ids: Sequence[str],
                         label: str = "y", parallelism: int = 4) -> DataFrame:
     """Cross-validated mean AUC and AP per candidate with its parameters as JSON."""
-    scores = compare_families(df, candidates, ids, label, parallelism)
+    scores = _union([materialize(compare_families(df, candidates[i:i + CANDIDATES_AT_ONCE], ids, label, parallelism))
+                     for i in range(0, len(candidates), CANDIDATES_AT_ONCE)])
     info = df.sparkSession.createDataFrame(
         [(c.name, c.family, json.dumps(c.params, sort_keys=True)) for c in candidates],
         "model string, family string, parameters string")

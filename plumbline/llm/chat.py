@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,7 +50,8 @@ class Layout:
     """Declares how records of some field paths become turns.
 
     ``turns`` gives an array<struct<role string, text string>> for a record, or, with
-    ``per_row``, one (turn, role, text) triple of columns per row.
+    ``per_row``, one (turn, role, text) triple of columns per row. Paths that are also in
+    ``optional``, of the top level, may be missing and are read as null.
     """
 
     name: str
@@ -57,6 +59,7 @@ class Layout:
     key: str
     turns: Callable[[], Column] | None = None
     per_row: tuple[str, str, str] | None = None
+    optional: tuple[str, ...] = ()
 
 
 def _turn(role: str, text: Column) -> Column:
@@ -89,7 +92,7 @@ LAYOUTS = (
            _messages("conversations", "from", "value", {"human": "user", "gpt": "assistant"})),
     Layout("prompt", ("completion", "id", "prompt"), "id",
            lambda: F.array(_turn("user", F.col("prompt")), _turn("assistant", F.col("completion")))),
-    Layout("instruction", ("id", "input", "instruction", "output"), "id", _instruction),
+    Layout("instruction", ("id", "input", "instruction", "output"), "id", _instruction, optional=("input",)),
 )
 
 
@@ -105,10 +108,11 @@ def canonical_turns(df: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -> Dat
     by_print = {fingerprint(list(x.paths)): x for x in layouts}
     layout = by_print.get(fingerprint(have))
     if layout is None:
-        fitting = [x for x in layouts if set(x.paths) <= set(have)]
+        fitting = [x for x in layouts if set(x.paths) - set(x.optional) <= set(have)]
         if not fitting:
             raise ValueError(f"no layout for the field paths {have}")
-        layout = max(fitting, key=lambda x: len(x.paths))
+        layout = max(fitting, key=lambda x: len(set(x.paths) & set(have)))
+        df = df.withColumns({p: F.lit(None).cast("string") for p in layout.optional if p not in have})
     if layout.per_row:
         turn, role, text = layout.per_row
         rows = df.select(quoted(layout.key).alias("conv_id"), quoted(turn).cast("long").alias("turn"),
@@ -122,35 +126,96 @@ def canonical_turns(df: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -> Dat
 def canonical_turns_json(df: DataFrame, payload: str, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """As ``canonical_turns`` for a column of JSON records whose layouts differ by row.
 
-    A record's paths are read from its own schema, hashed, and each known hash selects its
-    mapping. Records of no known layout, and text that is no JSON, give no turns.
+    A record gets the layout with the most of its nested field paths among the record's own, so
+    additional fields do no harm. A list that is empty or null fits any fields of its items.
+    conv_id is a long if every id is a whole JSON number, else text, as reading the records as
+    a table would give; one aggregation finds out. Records of no known layout, and text that is no
+    JSON object, give no turns: ``unmatched_json`` returns them.
     """
-    prints = F.transform(F.expr(f"regexp_extract_all(schema_of_variant(try_parse_json(`{payload}`)), "
-                                r"'([a-z_]+): ', 1)"), lambda p: F.lower(p))
-    seen = df.select(quoted(payload).alias("payload"),
-                     F.sha2(F.array_join(F.array_sort(F.array_distinct(prints)), "\n"), 256).alias("print"))
+    seen = _with_layout(df, payload, layouts).select("__record", "__layout")
+    ids = F.coalesce(*[F.when(F.col("__layout") == i, F.schema_of_variant(_field(F.col("__record"), x.key.lower())))
+                       for i, x in enumerate(layouts)])
+    whole = seen.agg(F.bool_and(ids.isin("BIGINT", "VOID"))).first()[0]
     parts = []
-    for x in layouts:
-        if x.per_row:
-            continue
-        names = sorted({n for p in x.paths for n in p.replace("[]", "").split(".")})
-        ddl = _record_schema(x)
-        read = (seen.filter(F.col("print") == hashlib.sha256("\n".join(names).encode()).hexdigest())
-                .select(F.from_json("payload", ddl).alias("r")).select("r.*"))
+    for i, x in enumerate(layouts):
+        read = seen.filter(F.col("__layout") == i).select(*_fields(F.col("__record"), _tree(x.paths)))
         parts.append(canonical_turns(read, (x,)))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
+    return out.withColumn("conv_id", F.col("conv_id").cast("string" if whole is False else "long"))
+
+
+def unmatched_json(df: DataFrame, payload: str, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
+    """The rows of ``df`` that ``canonical_turns_json`` takes no record from, with ``problem``: ``no object`` or ``no layout``."""
+    found = _with_layout(df, payload, layouts).filter("__layout IS NULL")
+    is_object = _members(F.col("__record")).isNotNull()
+    return found.withColumn("problem", F.when(is_object, "no layout").otherwise("no object")).drop("__record", "__layout")
+
+
+def _with_layout(df: DataFrame, payload: str, layouts: tuple[Layout, ...]) -> DataFrame:
+    """``df`` with ``__record``, the parsed payload, and ``__layout``, the place of its layout; null if none fits."""
+    rows = df.withColumn("__record", F.try_parse_json(quoted(payload).cast("string")))
+    fits = []
+    for i, x in enumerate(layouts):
+        has = {p: _contains(F.col("__record"), p.lower().split(".")) for p in x.paths}
+        needed = [has[p] for p in x.paths if p not in x.optional]
+        count = sum((h.cast("int") for h in has.values()), F.lit(0))
+        fits.append(F.when(reduce(Column.__and__, needed), F.struct(count.alias("n"), F.lit(-i).alias("at"))))
+    best = F.array_max(F.array_compact(F.array(*fits)))
+    return rows.withColumn("__layout", -best["at"])
+
+
+def _members(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "map<string,variant>")
+
+
+def _items(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "array<variant>")
+
+
+def _field(v: Column, name: str) -> Column:
+    """Member ``name``, in any case, of an object; null if absent."""
+    found = F.filter(F.map_entries(_members(v)), lambda e: F.lower(e["key"]) == name)
+    return F.get(F.transform(found, lambda e: e["value"]), F.lit(0))
+
+
+def _contains(v: Column, steps: list[str]) -> Column:
+    """Whether a record holds a path, as ``field_paths`` of its own schema would."""
+    name = steps[0].removesuffix("[]")
+    value = _field(v, name)
+    there = F.exists(F.map_keys(_members(v)), lambda k: F.lower(k) == name)
+    if steps[0].endswith("[]"):
+        inner = F.exists(_items(value), lambda m: _contains(m, steps[1:])) if steps[1:] else F.lit(True)
+        fits = _items(value).isNotNull() & ((F.size(_items(value)) == 0) | inner)
+    elif steps[1:]:
+        fits = _contains(value, steps[1:])
+    else:
+        fits = ~F.schema_of_variant(value).rlike("^(OBJECT|ARRAY)")
+    return F.coalesce(there & (value.isNull() | F.is_variant_null(value) | fits), F.lit(False))
+
+
+def _tree(paths: tuple[str, ...]) -> dict:
+    out: dict = {}
+    for p in paths:
+        at = out
+        for step in p.split("."):
+            at = at.setdefault(step, {})
     return out
 
 
-def _record_schema(x: Layout) -> str:
-    nested: dict[str, list[str]] = {}
-    for p in x.paths:
-        head, _, tail = p.partition("[].")
-        nested.setdefault(head, []).extend([tail] if tail else [])
-    return ", ".join(f"`{k}` array<struct<{', '.join(f'`{n}`: string' for n in v)}>>" if v
-                     else f"`{k}` {'bigint' if k == x.key else 'string'}" for k, v in nested.items())
+def _fields(v: Column, tree: dict) -> list[Column]:
+    """The members of a record that a layout names, under those names."""
+    def inside(sub: dict) -> Callable[[Column], Column]:
+        if sub:
+            return lambda c: F.when(_members(c).isNotNull(), F.struct(*_fields(c, sub)))
+        return lambda c: F.try_variant_get(c, "$", "string")
+    out = []
+    for step, sub in tree.items():
+        name, read = step.removesuffix("[]"), inside(sub)
+        value = _field(v, name.lower())
+        out.append((F.transform(_items(value), read) if step.endswith("[]") else read(value)).alias(name))
+    return out
 
 
 def format_conversations(turns: DataFrame, trained: tuple[str, ...] = ("assistant",)) -> DataFrame:

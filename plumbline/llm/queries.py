@@ -50,7 +50,7 @@ SELECT query_id, neighbor_id, rank, CAST(distance AS BIGINT) AS distance FROM
   (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS rank FROM pairs)
 WHERE rank <= 10""")
 def top_k_query(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "embeddings").select("vec_id", topk.sign_code(F.col("embedding")).alias("code"))
+    rows = table(spark, folder, "embeddings").select("vec_id", topk.sign_code(F.col("embedding"), whole=True).alias("code"))
     return topk.nearest(rows, "code", "vec_id", F.col("vec_id") % 50 == 0, k=10)
 
 

@@ -21,12 +21,15 @@ INDEX_BLOCK, QUERY_BLOCK = 65_536, 4_096
 CHUNK = 64
 
 
-def sign_code(vector: Column) -> Column:
+def sign_code(vector: Column, whole: bool = False) -> Column:
     """64-bit code of a vector: bit i is set where component i is above 0.
 
-    Components beyond 64 are ignored, missing, null and NaN ones count as not above 0. A null
+    Components beyond 64 are ignored or, with ``whole``, an error, so that nobody ranks wider
+    vectors by a prefix unawares. Missing, null and NaN ones count as not above 0. A null
     vector has no code.
     """
+    if whole:
+        vector = F.when(F.size(vector) > BITS, F.raise_error(F.lit(f"a vector has more than {BITS} components"))).otherwise(vector)
     def bit(x: Column, i: Column) -> Column:
         on = (x > 0) & ~F.isnan(x)
         return F.when(F.coalesce(on, F.lit(False)), F.call_function("shiftleft", F.lit(1).cast("long"), i.cast("int"))) \

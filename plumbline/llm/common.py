@@ -91,15 +91,16 @@ def text_batches(batches: Iterable[pa.RecordBatch], limit: int = 4 << 20) -> Ite
         yield from by_bytes(rows, lambda r: 16 + len(r[1] or ""), limit)
 
 
-def hold(df: DataFrame) -> DataFrame:
+def hold(df: DataFrame, *folders: str) -> DataFrame:
     """Compute a table once: write it to the shared folder of the session and read it again.
 
-    A lost executor costs none of it, and the planner knows its true size afterwards. The
-    tables of a session are removed when it ends.
+    A lost executor costs none of it, and the planner knows its true size afterwards. ``folders``
+    are columns with few values; a filter on them reads only the files it needs. The tables of a
+    session are removed when it ends.
     """
     spark = df.sparkSession
     path = f"{_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*folders).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

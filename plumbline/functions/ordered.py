@@ -6,6 +6,10 @@ value alone. Totals per bucket are small and give each bucket its offset; only
 the order inside a bucket is worked out by a window, so the work spreads over
 as many tasks as there are buckets. The bucket function depends on no sample
 or sketch, so recomputing a lost partition always yields the same buckets.
+
+Of a table large enough for it, buckets are counted first and those with too many
+rows are split by finer steps of the same function until none is left or the steps
+tell all values apart, so values packed into a narrow range are spread as well.
 """
 
 from __future__ import annotations
@@ -18,32 +22,64 @@ from pyspark.sql import functions as F
 from plumbline.functions.columns import quoted
 from plumbline.session import small_side
 
-#: Buckets per power of two; raise it for values packed into a narrow range.
-RESOLUTION = 4096
+#: Bits of the mantissa and of a hash that the first buckets tell apart, and that every refinement adds.
+VALUE_BITS, HASH_BITS, MORE_BITS = 12, 10, 12
+#: Rows a bucket may hold. A table of fewer bytes than that has no larger one and is not counted.
+MOST_ROWS = 4_000_000
+#: Bits of a mantissa that bucket numbers have room for: 2200 exponents and the sign take the others.
+_ROOM = 48
 
 
-def with_value_bucket(df: DataFrame, name: str, out: str = "__bucket", resolution: int = RESOLUTION) -> DataFrame:
-    """Add the monotone bucket number of a double column: exponent plus mantissa step.
+def with_value_bucket(df: DataFrame, name: str, out: str = "__bucket", bits: int = VALUE_BITS) -> DataFrame:
+    """Add the monotone bucket number of a double column: exponent and the first ``bits`` of the mantissa.
 
+    Numbers of any ``bits`` can be compared: a finer bucket lies between its coarse one and the next.
     The exponent is a projection of its own, so its logarithm is taken once per row.
     """
     v = f"double(`{name}`)"
-    step = f"floor((abs({v}) / power(2D, __exponent) - 1D) * {resolution}D)"
+    bits = min(bits, _ROOM)
+    step = f"floor((abs({v}) / power(2D, __exponent) - 1D) * {2.0 ** bits!r}D) * {1 << (_ROOM - bits)}"
     size = (f"(CASE WHEN abs({v}) >= 1e308D THEN {1 << 60}L "
-            f"ELSE __exponent * {resolution} + {step} + {1100 * resolution + 1} END)")
+            f"ELSE (__exponent + 1100) * {1 << _ROOM} + {step} + 1 END)")
     sign = f"CASE WHEN {v} > 0D THEN 1 ELSE -1 END"
     return (df.withColumn("__exponent", F.expr(f"floor(log2(abs({v})))"))
             .withColumn(out, F.expr(f"bigint(CASE WHEN {v} = 0D THEN 0 ELSE {size} * {sign} END)"))
             .drop("__exponent"))
 
 
-def hash_bucket(c: Column) -> Column:
-    """Monotone bucket number of a uniformly distributed long: its top ten bits."""
-    return F.shiftright(c, 54).cast("long")
+def with_hash_bucket(df: DataFrame, name: str, out: str = "__bucket", bits: int = HASH_BITS) -> DataFrame:
+    """Add the monotone bucket number of a uniformly distributed long: its first ``bits``."""
+    rest = 64 - min(bits, 64)
+    return df.withColumn(out, F.shiftleft(F.shiftright(quoted(name), rest), rest).cast("long"))
+
+
+def _bucketed(df: DataFrame, value: str, keys: Sequence[str], by_hash: bool) -> DataFrame:
+    """Add ``__bucket``, refined where one holds more than ``MOST_ROWS`` rows."""
+    place, bits, most = (with_hash_bucket, HASH_BITS, 64) if by_hash else (with_value_bucket, VALUE_BITS, _ROOM)
+    out = place(df, value, bits=bits)
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= MOST_ROWS:
+        return out
+    on = [*keys, "__bucket"]
+    while bits < most:
+        full = small_side(out.groupBy(*[quoted(k) for k in on]).agg(F.count(F.lit(1)).alias("__rows")).filter(
+            F.col("__rows") > MOST_ROWS).withColumn("__full", F.lit(True)).drop("__rows"))
+        if full.first() is None:
+            break
+        bits += MORE_BITS
+        finer = place(_null_safe_left(out, full, on), value, "__finer", bits)
+        out = finer.withColumn("__bucket", F.when(F.col("__full"), F.col("__finer")).otherwise(F.col("__bucket"))).drop(
+            "__full", "__finer")
+    return out
+
+
+def _null_safe_left(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+    renamed = right.withColumnsRenamed({c: f"__r_{c}" for c in on})
+    cond = " AND ".join(f"`{c}` <=> `__r_{c}`" for c in on)
+    return left.join(renamed, F.expr(cond), "left").drop(*[f"__r_{c}" for c in on])
 
 
 def running_totals(df: DataFrame, value: str, sums: dict[str, Column], keys: Sequence[str] = (),
-                   bucket: Column | None = None) -> DataFrame:
+                   by_hash: bool = False) -> DataFrame:
     """One row per (keys, value), in value order, with exact cumulative sums.
 
     For every entry of ``sums`` (integer-valued, null counts as 0) the result holds
@@ -54,10 +90,9 @@ def running_totals(df: DataFrame, value: str, sums: dict[str, Column], keys: Seq
     keys = list(keys)
     names = list(sums)
     kept = df.filter(quoted(value).isNotNull()).select(
-        *[quoted(k) for k in keys], quoted(value), *([] if bucket is None else [bucket.alias("__bucket")]),
+        *[quoted(k) for k in keys], quoted(value),
         *[F.coalesce(e, F.lit(0)).cast("long").alias(s) for s, e in sums.items()])
-    if bucket is None:
-        kept = with_value_bucket(kept, value)
+    kept = _bucketed(kept, value, keys, by_hash)
     per_value = kept.groupBy(*[quoted(k) for k in [*keys, value]], "__bucket").agg(
         *[F.sum(s).alias(s) for s in names])
     per_bucket = per_value.groupBy(*[quoted(k) for k in keys], "__bucket").agg(
@@ -90,7 +125,7 @@ def _null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str]) -> Dat
 
 
 def order_statistics(df: DataFrame, value: str, ranks: Column, keys: Sequence[str] = (),
-                     bucket: Column | None = None) -> DataFrame:
+                     by_hash: bool = False) -> DataFrame:
     """Values at given 0-based ranks: rows ``(keys, n, rank, value)``.
 
     ``ranks`` is an array<bigint> expression over ``n`` (the non-null count of the
@@ -99,10 +134,7 @@ def order_statistics(df: DataFrame, value: str, ranks: Column, keys: Sequence[st
     """
     keys = list(keys)
     kcols = [quoted(k) for k in keys]
-    kept = df.filter(quoted(value).isNotNull()).select(
-        *kcols, quoted(value), *([] if bucket is None else [bucket.alias("__bucket")]))
-    if bucket is None:
-        kept = with_value_bucket(kept, value)
+    kept = _bucketed(df.filter(quoted(value).isNotNull()).select(*kcols, quoted(value)), value, keys, by_hash)
     counts = kept.groupBy(*kcols, "__bucket").agg(F.count(F.lit(1)).alias("__size"))
     # The bucket table holds at most (octaves * resolution) rows per key.
     group = Window.partitionBy(*kcols, F.lit(0))

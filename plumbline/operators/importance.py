@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import quoted, ratio
 from plumbline.operators.metrics import ranking_metrics
-from plumbline.operators.models import ModelSpec, fit, in_parallel, score, _union
+from plumbline.operators.models import (
+    FEWEST_BOOSTED, ModelSpec, _batchable, _union, batched_predictions, fit, in_parallel, score,
+)
 from plumbline.operators.stats import rank_features
 from plumbline.session import materialize
 
@@ -166,18 +169,39 @@ def subset_evaluation(df: DataFrame, specs: Sequence[ModelSpec], sizes: Sequence
     for r in rank(training).orderBy("train_split", "rank").collect():  # splits x features rows
         ranked.setdefault(r["train_split"], []).append(r["feature"])
 
-    def job(spec: ModelSpec, k: int, row) -> Callable[[], DataFrame]:
+    names = {f"{s.name}\t{k}": (s, k) for s in specs for k in sizes}
+    variants = [replace(s, name=name) for name, (s, k) in names.items()]
+    where = {(r["repeat"], r["fold"]): ranked[r["split"]] for r in splits}
+
+    def chosen(spec: ModelSpec, repeat: int, fold: int) -> list[str]:
+        return where[repeat, fold][:names[spec.name][1]]
+
+    try:
+        together = batched_predictions(base, variants, ids, label, chosen=chosen) if all(
+            s in _batchable(specs, FEWEST_BOOSTED) for s in specs) else None
+        if together is None:
+            together = _subsets_one_by_one(base, variants, splits, chosen, label, parallelism)
+        shown = F.create_map(*[x for (repeat, fold), f in where.items() for k in sizes
+                               for x in (F.lit(f"{repeat}\t{fold}\t{k}"), F.lit("|".join(f[:k])))])
+        parts = F.split("model", "\t")
+        pred = materialize(together.select(
+            "y", "p", "split", parts[0].alias("model"), parts[1].cast("int").alias("subset_size"),
+            shown[F.concat_ws("\t", "repeat", "fold", parts[1])].alias("features")))
+    finally:
+        base.unpersist()
+    return ranking_metrics(pred, ["model", "subset_size", "split", "features"])
+
+
+def _subsets_one_by_one(base: DataFrame, variants: Sequence[ModelSpec], splits: Sequence, chosen: Callable, label: str,
+                        parallelism: int) -> DataFrame:
+    def job(spec: ModelSpec, row) -> Callable[[], DataFrame]:
         def run() -> DataFrame:
-            chosen = ranked[row["split"]][:k]
             part = base.filter(F.col("repeat") == row["repeat"])
-            model = fit(spec.with_features(chosen), part.filter(F.col("fold") != row["fold"]), label=label,
-                        cache=False)
+            own = spec.with_features(chosen(spec, row["repeat"], row["fold"]))
+            model = fit(own, part.filter(F.col("fold") != row["fold"]), label=label, cache=False)
             held = score(part.filter(F.col("fold") == row["fold"]), model)
-            return held.select(quoted(label).cast("int").alias("y"), "p", F.lit(spec.name).alias("model"),
-                               F.lit(k).alias("subset_size"), "split", F.lit("|".join(chosen)).alias("features"))
+            return materialize(held.select(quoted(label).cast("int").alias("y"), "p", F.lit(spec.name).alias("model"),
+                                           "repeat", "fold", "split"))
         return run
 
-    parts = in_parallel([job(s, k, r) for s in specs for k in sizes for r in splits], parallelism)
-    pred = materialize(_union(parts))
-    base.unpersist()
-    return ranking_metrics(pred, ["model", "subset_size", "split", "features"])
+    return _union(in_parallel([job(s, r) for s in variants for r in splits], parallelism))

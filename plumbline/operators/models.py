@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import attach_scalars, quoted, ratio, require_columns
+from plumbline.operators import batched
 from plumbline.operators.features import encoded_names, fit_preprocessor
 from plumbline.operators.metrics import ranking_metrics, threshold_metrics, with_rates
 from plumbline.session import materialize
@@ -28,6 +29,11 @@ from plumbline.session import materialize
 
 #: The deepest tree that Spark grows.
 DEEPEST = 30
+#: Memory for the statistics of the nodes that one job of a forest splits.
+FOREST_MB = 1024
+#: Parameters that the batched fits know, and how many boosted fits make a batch worth its jobs.
+LOGISTIC_PARAMS, GBT_PARAMS = {"C", "maxIter"}, {"maxIter", "stepSize", "maxDepth", "minInstancesPerNode", "subsamplingRate"}
+FEWEST_BOOSTED = 4
 #: Candidates whose fits and predictions are held at the same time.
 CANDIDATES_AT_ONCE = 8
 
@@ -86,7 +92,9 @@ def _estimator(spec: ModelSpec, rows: int, seed: int):
         return LogisticRegression(regParam=reg, elasticNetParam=0.0, standardization=False,
                                   **{"maxIter": 200, **params}, **common)
     if spec.family == "forest":
-        return RandomForestClassifier(seed=seed, **{"featureSubsetStrategy": "sqrt", **params}, **common)
+        # Deep trees have many nodes per level: more of them fit one job, and rows keep their node.
+        return RandomForestClassifier(seed=seed, **{"featureSubsetStrategy": "sqrt", "maxMemoryInMB": FOREST_MB, "cacheNodeIds": True,
+                                                    **params}, **common)
     if spec.family == "gbt":
         return GBTClassifier(seed=seed, **params, **common)
     raise ValueError(f"unknown family {spec.family}")
@@ -103,7 +111,15 @@ def fit(spec: ModelSpec, train: DataFrame, seed: int = 42, label: str = "y",
     rows = train.filter(quoted(label).isNotNull()).select(
         *[quoted(c) for c in spec.features], quoted(label).cast("double").alias("y"))
     if cache:
-        rows = cached = rows.persist(StorageLevel.MEMORY_AND_DISK)
+        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _fit(spec, rows, seed)
+    finally:
+        if cache:
+            rows.unpersist()
+
+
+def _fit(spec: ModelSpec, rows: DataFrame, seed: int) -> PipelineModel:
     sizes = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("p")).first()
     if spec.balanced:
         n, p = sizes["n"], sizes["p"]
@@ -112,8 +128,6 @@ def fit(spec: ModelSpec, train: DataFrame, seed: int = 42, label: str = "y",
         rows = rows.withColumn("__weight", weight)
     prep = fit_preprocessor(rows, spec.nums, spec.cats, spec.scaled)
     model = _estimator(spec, sizes["n"], seed).fit(prep.transform(rows))
-    if cache:
-        cached.unpersist()
     return PipelineModel(stages=[*prep.stages, model])
 
 
@@ -147,25 +161,87 @@ def oof_pooled(df: DataFrame, specs: Sequence[ModelSpec], ids: Sequence[str], la
     """Out-of-fold predictions, one row per (id, repeat, model).
 
     ``df`` holds one row per (row, repeat) with ``repeat``, ``fold`` and ``split``. The
-    prediction table is checkpointed: everything downstream reads it many times.
+    prediction table is checkpointed: everything downstream reads it many times. Logistic and
+    boosted models of all splits are fitted together, see ``batched``; the others one by one.
     """
+    together = [] if fitter else _batchable(specs, df.select("repeat", "fold").distinct().count())
+    done = batched_predictions(df, together, ids, label, seed) if together else None
+    rest = [s for s in specs if done is None or s not in together]
+    if not rest:
+        return done
+    single = _fitted_one_by_one(df, rest, ids, label, parallelism, seed, fitter)
+    return single if done is None else done.unionByName(single)
+
+
+def _batchable(specs: Sequence[ModelSpec], splits: int) -> list[ModelSpec]:
+    boosted = [s for s in specs if s.family == "gbt" and set(s.params) <= GBT_PARAMS]
+    if len(boosted) * splits < FEWEST_BOOSTED:
+        boosted = []
+    return [s for s in specs if s.family == "logistic" and set(s.params) <= LOGISTIC_PARAMS] + boosted
+
+
+def batched_predictions(df: DataFrame, specs: Sequence[ModelSpec], ids: Sequence[str], label: str = "y", seed: int = 42,
+                        held: bool = True, chosen: Callable[[ModelSpec, int, int], Sequence[str]] | None = None) -> DataFrame | None:
+    """Predictions of logistic and boosted specs on the held-out (or training) rows of all splits.
+
+    ``chosen`` names the features of a spec in a split, all of its own by default. None if the columns
+    have too many levels for dense models.
+    """
+    nums, cats = (list(dict.fromkeys(c for s in specs for c in getattr(s, kind))) for kind in ("nums", "cats"))
+    e = batched.encode(df, nums, cats, ids, label)
+    if e is None:
+        return None
+
+    def features(spec: ModelSpec, split: batched.Split) -> tuple[tuple[str, ...], tuple[str, ...]]:
+        own = spec if chosen is None else spec.with_features(chosen(spec, split.repeat, split.fold))
+        return own.nums, own.cats
+
+    parts = []
+    jobs = [batched.LogisticJob(s.name, split, *features(s, split), s.params.get("C", 1.0), s.balanced, s.scaled)
+            for s in specs if s.family == "logistic" for split in e.splits.values()]
+    if jobs:
+        batched.fit_logistic(e, jobs)
+        parts.append(materialize(batched.predict_logistic(e, jobs, held)))
+    # Boosted candidates that differ only in the number of iterations are stages of one fit.
+    groups: dict[tuple, dict[int, list[ModelSpec]]] = {}
+    for s in specs:
+        if s.family == "gbt":
+            p = {"maxIter": 20, "stepSize": 0.1, "maxDepth": 5, "minInstancesPerNode": 1, "subsamplingRate": 1.0, **s.params}
+            same = (s.nums, s.cats, p["stepSize"], p["maxDepth"], p["minInstancesPerNode"], p["subsamplingRate"])
+            same += () if chosen is None else (s.name,)
+            groups.setdefault(same, {}).setdefault(p["maxIter"], []).append(s)
+    boosted = [batched.BoostJob({t: found[0].name for t, found in stages.items()}, split, *features(next(iter(stages.values()))[0], split), *same[2:6])
+               for same, stages in groups.items() for split in e.splits.values()]
+    if boosted:
+        pred = batched.fit_boosted(e, boosted, seed, held)
+        for stages in groups.values():  # specs that are equal but for their names share one fit
+            for found in stages.values():
+                pred = pred.unionByName(_union([pred.filter(F.col("model") == found[0].name).withColumn("model", F.lit(s.name))
+                                                for s in found[1:]])) if found[1:] else pred
+        parts.append(pred)
+    return _union(parts)
+
+
+def _fitted_one_by_one(df: DataFrame, specs: Sequence[ModelSpec], ids: Sequence[str], label: str, parallelism: int, seed: int,
+                       fitter: Callable[[ModelSpec, DataFrame, int], object] | None) -> DataFrame:
+    """Each fit's predictions are written when it ends, so no plan holds more than one model."""
     fitter = fitter or (lambda s, d, k: fit(s, d, k, label, cache=False))
     base = df.persist(StorageLevel.MEMORY_AND_DISK)
-    folds = base.select("repeat", "fold", "split").distinct().orderBy("split").collect()
+    try:
+        folds = base.select("repeat", "fold", "split").distinct().orderBy("split").collect()
 
-    def job(spec: ModelSpec, r: int, f: int, s: int) -> Callable[[], DataFrame]:
-        def run() -> DataFrame:
-            part = base.filter(F.col("repeat") == r)
-            model = fitter(spec, part.filter(F.col("fold") != f), seed)
-            held = score(part.filter(F.col("fold") == f), model)
-            return held.select(*[quoted(c) for c in ids], quoted(label).cast("int").alias("y"), "p",
-                               F.lit(spec.name).alias("model"), "repeat", "fold", "split")
-        return run
+        def job(spec: ModelSpec, r: int, f: int) -> Callable[[], DataFrame]:
+            def run() -> DataFrame:
+                part = base.filter(F.col("repeat") == r)
+                model = fitter(spec, part.filter(F.col("fold") != f), seed)
+                held = score(part.filter(F.col("fold") == f), model)
+                return materialize(held.select(*[quoted(c) for c in ids], quoted(label).cast("int").alias("y"), "p",
+                                               F.lit(spec.name).alias("model"), "repeat", "fold", "split"))
+            return run
 
-    parts = in_parallel([job(s, r["repeat"], r["fold"], r["split"]) for s in specs for r in folds], parallelism)
-    out = materialize(_union(parts))
-    base.unpersist()
-    return out
+        return _union(in_parallel([job(s, r["repeat"], r["fold"]) for s in specs for r in folds], parallelism))
+    finally:
+        base.unpersist()
 
 
 def cross_validate(df: DataFrame, specs: Sequence[ModelSpec], ids: Sequence[str], label: str = "y",
@@ -212,25 +288,44 @@ def grid(spec: ModelSpec, options: dict[str, Sequence]) -> list[ModelSpec]:
 
 
 def evaluate_candidates(df: DataFrame, candidates: Sequence[ModelSpec], ids: Sequence[str],
-                        label: str = "y", parallelism: int = 4) -> DataFrame:
-    """Cross-validated mean AUC and AP per candidate with its parameters as JSON."""
-    scores = _union([materialize(compare_families(df, candidates[i:i + CANDIDATES_AT_ONCE], ids, label, parallelism))
-                     for i in range(0, len(candidates), CANDIDATES_AT_ONCE)])
+                        label: str = "y", parallelism: int = 4, train_scores: bool = False) -> DataFrame:
+    """Cross-validated mean AUC and AP per candidate with its parameters and class weights as JSON.
+
+    ``train_scores`` adds the means over the training rows of the splits; only batched fits have them.
+    """
+    splits = df.select("repeat", "fold").distinct().count()
+    together = _batchable(candidates, splits)
+    rest = [c for c in candidates if c not in together]
+    groups = ([together] if together else []) + [rest[i:i + CANDIDATES_AT_ONCE] for i in range(0, len(rest), CANDIDATES_AT_ONCE)]
+    scores = _union([materialize(compare_families(df, g, ids, label, parallelism)) for g in groups])
+    if train_scores:
+        pred = batched_predictions(df, together, ids, label, held=False)
+        fitted = ranking_metrics(pred, ["model", "split"]).groupBy("model").agg(
+            F.avg("roc_auc").alias("train_roc_auc_mean"), F.avg("pr_auc").alias("train_pr_auc_mean"))
+        scores = scores.join(materialize(fitted), "model", "left")
     info = df.sparkSession.createDataFrame(
-        [(c.name, c.family, json.dumps(c.params, sort_keys=True)) for c in candidates],
-        "model string, family string, parameters string")
+        [(c.name, c.family, json.dumps({**c.params, **({} if c.family == "gbt" else {"balanced": c.balanced})}, sort_keys=True))
+         for c in candidates], "model string, family string, parameters string")
     return scores.join(F.broadcast(info), "model")
 
 
 def grid_search(df: DataFrame, spec: ModelSpec, options: dict[str, Sequence], ids: Sequence[str],
-                label: str = "y", parallelism: int = 4) -> tuple[DataFrame, ModelSpec]:
+                label: str = "y", parallelism: int = 4, train_scores: bool = False) -> tuple[DataFrame, ModelSpec]:
     """All combinations ranked by mean AUC, and the best specification."""
     candidates = grid(spec, options)
-    ranked = rank_models(evaluate_candidates(df, candidates, ids, label, parallelism))
+    ranked = rank_models(evaluate_candidates(df, candidates, ids, label, parallelism, train_scores))
     best = ranked.filter(F.col("rank") == 1).first()["model"]
     return ranked, next(c for c in candidates if c.name == best)
 
 
+def search_and_refit(df: DataFrame, spec: ModelSpec, options: dict[str, Sequence], ids: Sequence[str], label: str = "y",
+                     parallelism: int = 4) -> tuple[DataFrame, ModelSpec, PipelineModel]:
+    """``grid_search`` with training scores, and its best specification fitted on every row once."""
+    ranked, best = grid_search(df, spec, options, ids, label, parallelism, train_scores=True)
+    first = df.agg(F.min("repeat").alias("r"))
+    return ranked, best, fit(best, df.filter(F.col("repeat") == first.scalar()), label=label)
+
+
 def rank_models(results: DataFrame, first: str = "roc_auc_mean", second: str = "pr_auc_mean") -> DataFrame:
     """1-based rank by two descending metrics, then name (one row per model)."""
     w = Window.orderBy(F.desc(first), F.desc(second), "model")
@@ -308,12 +403,48 @@ def model_information(model: PipelineModel) -> DataFrame:
         "model_type string, encoded_features int, parameters string")
 
 
+def training_checks(df: DataFrame, spec: ModelSpec, ids: Sequence[str], label: str = "y", folds: int = 5,
+                    expected: dict | None = None) -> DataFrame:
+    """(check, passed): what a table must fulfil before a production model is fitted on it.
+
+    ``expected`` adds ``canonical_checks`` against a known version of the table.
+    """
+    there = [c for c in spec.features if c in df.columns]
+    y = quoted(label).try_cast("double")
+    facts = df.agg(F.count(F.lit(1)).alias("rows"), F.count_if(y.isNull()).alias("unlabelled"), F.count_if(y == 1).alias("pos"),
+                   F.count_if(y == 0).alias("neg"), *[F.count(quoted(c)).alias(f"known_{i}") for i, c in enumerate(there)])
+    keys = df.groupBy(*[quoted(c) for c in ids]).agg(F.count(F.lit(1)).alias("n")).agg(
+        F.coalesce(F.max("n"), F.lit(0)).alias("most"), F.count_if(reduce(lambda a, c: a | c, [quoted(c).isNull() for c in ids])).alias("gaps"))
+    values = F.lit(True)
+    for i in range(len(there)):
+        values = values & (F.col(f"known_{i}") > 0)
+    checks = {"has_rows": F.col("rows") > 0, "features_present": F.lit(len(there) == len(spec.features)), "features_have_values": values,
+              "target_complete": F.col("unlabelled") == 0,
+              "target_is_binary": F.col("pos") + F.col("neg") == F.col("rows") - F.col("unlabelled"),
+              "each_class_fills_the_folds": F.least("pos", "neg") >= folds,
+              "identifier_unique": F.col("most") <= 1, "identifier_complete": F.col("gaps") == 0}
+    own = attach_scalars(facts, keys).select(F.inline(F.array(*[
+        F.struct(F.lit(k).alias("check"), v.alias("passed")) for k, v in checks.items()])))
+    if expected is None:
+        return own
+    from plumbline.operators.contract import canonical_checks
+    return own.unionByName(canonical_checks(df, expected).withColumn("check", F.concat(F.lit("expected: "), "check")))
+
+
 def fit_production(df: DataFrame, spec: ModelSpec, path: str, threshold: float = 0.25, folds: int = 5,
-                   ids: Sequence[str] = (), label: str = "y", metadata: dict | None = None) -> DataFrame:
-    """Fit the calibrated model on all rows, save it under ``path`` and return its metadata row."""
+                   ids: Sequence[str] = (), label: str = "y", metadata: dict | None = None,
+                   expected: dict | None = None) -> DataFrame:
+    """Fit the calibrated model on all rows, save it under ``path`` and return its metadata row.
+
+    The table is validated first (``training_checks``); nothing is fitted or written if a check fails.
+    """
     from plumbline.operators.calibrate import calibrated_cv
     from plumbline.sources.fingerprint import content_fingerprint
     from plumbline.sources.writers import write_report_json
+    checks = [tuple(r) for r in training_checks(df, spec, ids, label, folds, expected).collect()]
+    failed = [name for name, passed in checks if not passed]
+    if failed:
+        raise ValueError(f"the table fails {failed}")
     model = calibrated_cv(df, spec, ids, folds, label=label)
     model.save(path)
     facts = df.agg(F.count(F.lit(1)).alias("training_rows"), F.avg(quoted(label)).alias("prevalence"))
@@ -323,7 +454,7 @@ def fit_production(df: DataFrame, spec: ModelSpec, path: str, threshold: float =
         F.array(*[F.lit(c) for c in spec.features]).alias("features"),
         F.lit(json.dumps(spec.params, sort_keys=True)).alias("parameters"),
         F.lit(folds).alias("calibration_folds"), F.lit(float(threshold)).alias("threshold"),
-        "training_rows", "prevalence", "content_hash",
+        "training_rows", "prevalence", "content_hash", F.lit(len(checks)).alias("checks_passed"),
         F.lit(json.dumps(metadata or {}, sort_keys=True)).alias("governance"),
         F.current_timestamp().alias("trained_at"))
     write_report_json(meta, path.rstrip("/") + "/metadata_row")

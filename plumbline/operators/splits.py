@@ -2,8 +2,9 @@
 
 Every row gets a pseudo-random position from a hash of its key and a seed; a split
 is a range of positions. The range bounds of each class are exact order
-statistics, so split sizes are exact, yet rows are neither sorted nor moved: the
-bounds are found from bucket counts and then compared with in a narrow projection.
+statistics, so split sizes are exact, yet rows are neither sorted, moved nor copied: the
+bounds of all seeds are found from counts of (class, position) and then compared
+with in a narrow projection, which gives every row an array with its place per seed.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import quoted
-from plumbline.functions.ordered import hash_bucket, order_statistics
+from plumbline.functions.ordered import order_statistics
 from plumbline.session import small_side
 
 _LOWEST = -(2 ** 63)
@@ -34,27 +35,35 @@ def portable_position(ids: Sequence[str], seed: int | Column) -> Column:
     return (F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long") - F.lit(1 << 59)) * 16
 
 
-def _with_bounds(df: DataFrame, y: str, ranks: list[Column], keys: Sequence[str]) -> DataFrame:
-    """Add array ``__bounds``: per wanted rank of the class the position found there,
-    the lowest possible position where the rank is negative. Rows without a label are
-    left out."""
-    on = [*keys, "__class"]
-    base = df.withColumn("__class", quoted(y).cast("string"))
-    found = order_statistics(base.filter(F.col("__class").isNotNull()), "__pos", F.array(*ranks), on,
-                             hash_bucket(F.col("__pos")))
-    by_rank = found.groupBy(*on, "n").agg(
+def _with_bounds(df: DataFrame, y: str, places: Sequence[Column], ranks: list[Column]) -> DataFrame:
+    """Add arrays ``__places`` and ``__bounds``: per place the positions found at the wanted ranks of the
+    class, the lowest possible position where the rank is negative. Rows without a label are left out."""
+    base = df.withColumn("__class", quoted(y).cast("string")).filter(F.col("__class").isNotNull()).withColumn(
+        "__places", F.array(*places))
+    long = base.select("__class", F.posexplode("__places").alias("__seed", "__pos"))
+    found = order_statistics(long, "__pos", F.array(*ranks), ["__seed", "__class"], by_hash=True)
+    by_rank = found.groupBy("__seed", "__class", "n").agg(
         F.map_from_entries(F.collect_list(F.struct("rank", "__pos"))).alias("__at"))
     bounds = F.array(*[F.when(r < 0, F.lit(_LOWEST)).otherwise(F.try_element_at("__at", r)) for r in ranks])
-    return base.join(small_side(by_rank.select(*on, bounds.alias("__bounds"))), on).drop("__class")
+    per_class = by_rank.select("__class", F.struct("__seed", bounds.alias("bounds")).alias("__one")).groupBy("__class").agg(
+        F.transform(F.array_sort(F.collect_list("__one")), lambda x: x["bounds"]).alias("__bounds"))
+    return base.join(small_side(per_class), "__class").drop("__class")
+
+
+def _below() -> Column:
+    """Array of the number of bounds below the position, per place."""
+    return F.zip_with("__places", "__bounds", lambda p, found: F.size(F.filter(found, lambda b: b < p)))
+
+
+def _holdout_rank(frac: float) -> Column:
+    return (F.floor(F.col("n") * F.lit(frac) + 0.5) - 1).cast("long")
 
 
 def stratified_holdout(df: DataFrame, y: str, ids: Sequence[str], frac: float = 0.2, seed: int = 42,
                        pos: Column | None = None, out: str = "is_holdout") -> DataFrame:
     """Mark round(frac * n) rows of every class as hold-out."""
-    base = df.withColumn("__pos", position(ids, seed) if pos is None else pos)
-    last = (F.floor(F.col("n") * F.lit(frac) + 0.5) - 1).cast("long")
-    return (_with_bounds(base, y, [last], []).withColumn(out, F.col("__pos") <= F.col("__bounds")[0])
-            .drop("__pos", "__bounds"))
+    base = _with_bounds(df, y, [position(ids, seed) if pos is None else pos], [_holdout_rank(frac)])
+    return base.withColumn(out, _below()[0] == 0).drop("__places", "__bounds")
 
 
 def _fold_ranks(k: int) -> list[Column]:
@@ -64,31 +73,36 @@ def _fold_ranks(k: int) -> list[Column]:
 def stratified_kfold(df: DataFrame, y: str, ids: Sequence[str], k: int = 5, seed: int = 42,
                      pos: Column | None = None) -> DataFrame:
     """Add ``fold`` 0..k-1; per class the fold sizes differ by at most one."""
-    base = df.withColumn("__pos", position(ids, seed) if pos is None else pos)
-    fold = F.size(F.filter("__bounds", lambda b: b < F.col("__pos")))
-    return _with_bounds(base, y, _fold_ranks(k), []).withColumn("fold", fold).drop("__pos", "__bounds")
+    base = _with_bounds(df, y, [position(ids, seed) if pos is None else pos], _fold_ranks(k))
+    return base.withColumn("fold", _below()[0]).drop("__places", "__bounds")
+
+
+def fold_table(df: DataFrame, y: str, ids: Sequence[str], k: int = 5, seeds: Sequence[int] = (42, 52, 62, 72, 82),
+               portable: bool = False) -> DataFrame:
+    """Add ``folds``: an array with the fold of the row per seed. One row per row."""
+    place = portable_position if portable else position
+    base = _with_bounds(df, y, [place(ids, s) for s in seeds], _fold_ranks(k))
+    return base.withColumn("folds", _below()).drop("__places", "__bounds")
 
 
 def repeated_stratified_kfold(df: DataFrame, y: str, ids: Sequence[str], k: int = 5,
                               seeds: Sequence[int] = (42, 52, 62, 72, 82), portable: bool = False) -> DataFrame:
-    """One row per (row, repeat) with ``repeat``, ``fold`` and ``split`` = repeat * k + fold."""
-    table = F.array(*[F.struct(F.lit(i).alias("repeat"), F.lit(s).alias("__seed"))
-                      for i, s in enumerate(seeds)])
+    """``fold_table`` in long form: ``repeat``, ``fold`` and ``split`` = repeat * k + fold per (row, repeat)."""
+    folds = fold_table(df, y, ids, k, seeds, portable)
+    return folds.select(*[quoted(c) for c in df.columns], F.posexplode("folds").alias("repeat", "fold")).withColumn(
+        "split", F.col("repeat") * k + F.col("fold"))
+
+
+def holdout_table(df: DataFrame, y: str, ids: Sequence[str], n: int = 50, frac: float = 0.2, seed: int = 42,
+                  portable: bool = False) -> DataFrame:
+    """Add ``holdouts``: an array that tells for each of n splits whether the row is held out. One row per row."""
     place = portable_position if portable else position
-    base = df.select("*", F.inline(table)).withColumn("__pos", place(ids, F.col("__seed")))
-    fold = F.size(F.filter("__bounds", lambda b: b < F.col("__pos")))
-    return (_with_bounds(base, y, _fold_ranks(k), ["repeat"]).withColumn("fold", fold)
-            .withColumn("split", F.col("repeat") * k + F.col("fold"))
-            .drop("__pos", "__bounds", "__seed"))
+    base = _with_bounds(df, y, [place(ids, seed + i) for i in range(n)], [_holdout_rank(frac)])
+    return base.withColumn("holdouts", F.transform(_below(), lambda b: b == 0)).drop("__places", "__bounds")
 
 
 def repeated_holdout(df: DataFrame, y: str, ids: Sequence[str], n: int = 50, frac: float = 0.2,
                      seed: int = 42, portable: bool = False) -> DataFrame:
-    """n independent stratified hold-outs: one row per (row, split) with ``is_holdout``."""
-    table = F.array(*[F.struct(F.lit(i).alias("split"), F.lit(seed + i).alias("__seed")) for i in range(n)])
-    place = portable_position if portable else position
-    base = df.select("*", F.inline(table)).withColumn("__pos", place(ids, F.col("__seed")))
-    last = (F.floor(F.col("n") * F.lit(frac) + 0.5) - 1).cast("long")
-    return (_with_bounds(base, y, [last], ["split"])
-            .withColumn("is_holdout", F.col("__pos") <= F.col("__bounds")[0])
-            .drop("__pos", "__bounds", "__seed"))
+    """``holdout_table`` in long form: one row per (row, split) with ``is_holdout``."""
+    marks = holdout_table(df, y, ids, n, frac, seed, portable)
+    return marks.select(*[quoted(c) for c in df.columns], F.posexplode("holdouts").alias("split", "is_holdout"))

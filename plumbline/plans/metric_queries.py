@@ -539,12 +539,12 @@ def v2(spark: Spark, sf: str) -> DataFrame:
     return splits.stratified_kfold(oc, "y", ["id"], 5, pos=splits.portable_position(["id"], 42))
 
 
-@query("v3_repeated_stratified_kfold", f"""WITH {d.OC}, s AS (SELECT id, y, repeat, {pos_sql('seed')} AS pos FROM oc, (VALUES (0, 42), (1, 52), (2, 62)) AS v(repeat, seed)),
+@query("v3_repeated_stratified_kfold", f"""WITH {d.OC}, s AS (SELECT id, y, repeat, {pos_sql('seed')} AS pos FROM oc, (VALUES (0, 42), (1, 52), (2, 62), (3, 72), (4, 82)) AS v(repeat, seed)),
  r AS (SELECT *, row_number() OVER (PARTITION BY repeat, y ORDER BY pos) - 1 AS k, count(*) OVER (PARTITION BY repeat, y) AS n FROM s),
  f AS (SELECT id, y, repeat, len(list_filter([1, 2, 3, 4], lambda f: floor(n * f / 5) <= k)) AS fold FROM r) SELECT *, repeat * 5 + fold AS split FROM f""", longs="id y repeat fold split")
 def v3(spark: Spark, sf: str) -> DataFrame:
     oc = d.orders_customers(spark, sf).select("id", "y")
-    return splits.repeated_stratified_kfold(oc, "y", ["id"], 5, (42, 52, 62), portable=True)
+    return splits.repeated_stratified_kfold(oc, "y", ["id"], 5, portable=True)
 
 
 @query("v4_repeated_holdout", f"""WITH {d.OC}, s AS (SELECT id, y, split, {pos_sql('(42 + split)')} AS pos FROM oc, range(50) AS v(split)),

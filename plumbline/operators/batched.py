@@ -10,12 +10,13 @@ split from sums over folds, total minus fold, and folded into the models.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
+from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,10 +26,12 @@ from plumbline.session import materialize
 
 #: Encoded columns up to which a Hessian is formed, steps a Newton fit may take, gradient at which it ends.
 MOST_COLUMNS, STEPS, TOLERANCE = 256, 60, 1e-9
-#: Bins of a number, models whose histograms are counted at once, iterations between lineage cuts.
-BINS, BLOCK, CUT = 32, 32, 25
+#: Bins of a number, models whose histograms are counted at once, rows of a block, iterations between lineage cuts.
+BINS, BLOCK, ROWS, CUT = 32, 32, 4096, 25
 #: Doubles that the models of one batch may send per task.
 BATCH_CELLS = 8 << 20
+#: Doubles of all tasks together that are added up on the driver; more are added up by a shuffle.
+DRIVER_CELLS = 4 << 20
 
 
 @dataclass
@@ -96,10 +99,11 @@ def encode(df: DataFrame, nums: Sequence[str], cats: Sequence[str], ids: Sequenc
         known = F.create_map(*[x for i, v in enumerate(levels[c]) for x in (F.lit(v), F.lit(i))])
         return F.coalesce(F.try_element_at(known, quoted(c).cast("string")), F.lit(-1))
 
+    tasks = max(wide.sparkSession.sparkContext.defaultParallelism, int(wide.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = materialize(wide.select(
         *[quoted(c) for c in ids], quoted(label).cast("double").alias("y"),
         F.array(*[F.coalesce(number(c), F.lit(float("nan"))) for c in nums]).cast("array<double>").alias("x"),
-        F.array(*[place(c) for c in cats]).cast("array<int>").alias("c"), F.col("folds").cast("array<int>").alias("folds")))
+        F.array(*[place(c) for c in cats]).cast("array<int>").alias("c"), F.col("folds").cast("array<int>").alias("folds")).repartition(tasks))
     out = Encoded(rows, list(ids), list(nums), list(cats), levels, {})
     if out.width > MOST_COLUMNS:
         return None
@@ -275,6 +279,7 @@ def _newton_sums(e: Encoded, jobs: Sequence[LogisticJob], betas: np.ndarray) ->
     repeats, folds = np.array([j.split.repeat for j in jobs]), np.array([j.split.fold for j in jobs])
     low, high = np.array([j.weights() for j in jobs]).T
     upper = np.triu_indices(width)
+    sums_size = len(jobs) * (1 + width + len(upper[0]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((len(jobs), 1 + width + len(upper[0])))
@@ -290,13 +295,18 @@ def _newton_sums(e: Encoded, jobs: Sequence[LogisticJob], betas: np.ndarray) ->
                 sums[:, 1 + width:] += ((base[:, upper[0]] * base[:, upper[1]]).T @ (w * p * (1 - p))).T
         yield _blobs(range(len(jobs)), sums)
 
-    total = e.rows.select("y", "x", "c", "folds").mapInArrow(run, "m int, v binary").repartition("m").mapInArrow(_add, "m int, v binary")
+    total = e.rows.select("y", "x", "c", "folds").mapInArrow(run, "m int, v binary").repartition(_tasks(sums_size), "m").mapInArrow(_add, "m int, v binary")
     out = [np.zeros(1 + width + len(upper[0]))] * len(jobs)
     for r in total.collect():  # a vector per model
         out[r["m"]] = np.frombuffer(r["v"])
     return out
 
 
+def _tasks(cells: int) -> int:
+    """Tasks that add up vectors of this many doubles in all."""
+    return 1 + cells // (1 << 18)
+
+
 def _blobs(numbers: Sequence[int], values) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(numbers), pa.int32()), pa.array([v.tobytes() for v in values], pa.binary())], ["m", "v"])
 
@@ -369,10 +379,9 @@ def fit_boosted(e: Encoded, jobs: Sequence[BoostJob], seed: int = 42, held: bool
     whatever the number of models.
     """
     edges = _edges(e)
-    codes = _coded(e, edges)
     cells = 2 ** (max(j.depth for j in jobs) - 1) * sum(_sizes(e, edges)) * 3
     at_once = max(1, BATCH_CELLS // cells)
-    parts = [_boost(e, codes, edges, jobs[i:i + at_once], seed, held) for i in range(0, len(jobs), at_once)]
+    parts = [_boost(e, edges, jobs[i:i + at_once], seed, held) for i in range(0, len(jobs), at_once)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -392,23 +401,31 @@ def _sizes(e: Encoded, edges: Sequence[np.ndarray]) -> list[int]:
     return [len(x) + 1 for x in edges] + [max(len(e.levels[c]), 1) for c in e.cats]
 
 
-def _coded(e: Encoded, edges: Sequence[np.ndarray]) -> DataFrame:
-    """Rows with ``q``, the bin or level per feature, and a random number; gaps are -1."""
-    schema = e.rows.select(*[quoted(c) for c in e.ids]).schema
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+def _blocks(e: Encoded, edges: Sequence[np.ndarray], start: np.ndarray) -> RDD:
+    """Blocks of rows as arrays: bins or levels per feature (gaps -1), label, folds, a random number, margins.
+
+    Hundreds of short jobs follow over the same arrays; as elements of an RDD they stay arrays in between.
+    """
     ids = e.ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, c = _arrays(batch, "x"), _arrays(batch, "c")
-            q = np.concatenate([np.stack([np.where(np.isnan(x[:, i]), -1, np.searchsorted(b, x[:, i])) for i, b in enumerate(edges)], axis=1)
-                                if edges else np.empty((batch.num_rows, 0), int), c], axis=1).astype(np.int16)
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(i) for i in ids], batch.column("y"), batch.column("folds"), pa.array(list(q), pa.list_(pa.int16())),
-                 batch.column("r")], [*ids, "y", "folds", "q", "r"])
-
-    return e.rows.withColumn("r", F.xxhash64(*[quoted(c) for c in e.ids])).mapInArrow(
-        run, f"{fields}, y double, folds array<int>, q array<smallint>, r bigint")
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                x, c = _arrays(part, "x"), _arrays(part, "c")
+                bins = [np.where(np.isnan(x[:, i]), -1, np.searchsorted(b, x[:, i])) for i, b in enumerate(edges)]
+                q = np.concatenate([np.array(bins, np.int16).T.reshape(len(c), -1), c.astype(np.int16)], axis=1)
+                keys = pa.RecordBatch.from_arrays([part.column(i) for i in ids], ids)
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, keys.schema) as out:
+                    out.write_batch(keys)
+                block = {"ids": sink.getvalue().to_pybytes(), "q": q, "y": part.column("y").to_numpy(zero_copy_only=False),
+                         "folds": _arrays(part, "folds"), "r": part.column("r").to_numpy(zero_copy_only=False),
+                         "f": np.tile(start, (len(c), 1))}
+                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(block, 5)], pa.binary())], ["block"])
+
+    packed = e.rows.withColumn("r", F.xxhash64(*[quoted(c) for c in ids])).mapInArrow(run, "block binary")
+    return packed.rdd.map(lambda row: pickle.loads(row["block"]))
 
 
 def _sampled(r: np.ndarray, seed: int, rate: float) -> np.ndarray:
@@ -520,83 +537,97 @@ class _Grower:
         return feature, np.where(split, at - self.starts[feature], 0), values
 
 
-def _boost(e: Encoded, codes: DataFrame, edges: Sequence[np.ndarray], jobs: Sequence[BoostJob], seed: int, held: bool) -> DataFrame:
+def _boost(e: Encoded, edges: Sequence[np.ndarray], jobs: Sequence[BoostJob], seed: int, held: bool) -> DataFrame:
+    sc = e.rows.sparkSession.sparkContext
     grower = _Grower(e, edges, jobs, seed)
-    start = F.array(*[F.lit(float(v)) for v in grower.start])
-    state = materialize(codes.withColumn("f", start))
+    state = _blocks(e, edges, grower.start).persist(StorageLevel.MEMORY_AND_DISK)
     older: list[tuple] = []
     stages = sorted({t for j in jobs for t in j.stages})
-    found = None
-    for t in range(1, stages[-1] + 1):
-        for level in range(int(grower.depths[grower.lasts > grower.iteration].max())):
-            splits = _grow(state, grower, level)
-            last = grower.depths == level + 1
-            for m, nodes, feature, bins, values in splits:
-                heap = 2 ** level - 1 + nodes
-                grower.feature[m, heap], grower.bin[m, heap] = feature, bins
-                if last[m]:
-                    grower.value[m, :2 * len(nodes)] = values.ravel()
-        grower.iteration = t
-        state, sent = _advance(state, grower)
-        cut = t % CUT == 0 or t in stages
-        state = materialize(state) if cut else state.persist(StorageLevel.MEMORY_AND_DISK)
-        older.append((state, sent))
-        if t in stages:
-            shown = [(i, j) for i, j in enumerate(jobs) if t in j.stages]
-            which = np.array([i for i, _ in shown])
-            part = materialize(_predictions(e, state, [(j.stages[t], j.split) for _, j in shown],
-                                            lambda batch, which=which: _arrays(batch, "f")[:, which], held))
-            found = part if found is None else found.unionByName(part)
-        if cut:  # nothing depends on the states since the last cut any more
-            for df, sent in older:
-                df.unpersist()
-                sent.destroy()
-            older = []
-        grower.new_tree()
-    return found
-
-
-def _advance(state: DataFrame, grower: _Grower) -> tuple[DataFrame, object]:
-    """The rows with the margins after the finished tree, and the broadcast they need until they are cut off."""
-    names = state.columns
-    sent = state.sparkSession.sparkContext.broadcast(grower)
+    found: list[DataFrame] = []
+    try:
+        for t in range(1, stages[-1] + 1):
+            for level in range(int(grower.depths[grower.lasts > grower.iteration].max())):
+                last = grower.depths == level + 1
+                for m, feature, bins, values in _grow(state, grower, level):
+                    heap = 2 ** level - 1 + np.arange(2 ** level)
+                    grower.feature[m, heap], grower.bin[m, heap] = feature, bins
+                    if last[m]:
+                        grower.value[m, :2 ** (level + 1)] = values.ravel()
+            grower.iteration = t
+            sent = sc.broadcast(grower)
+            older.append((state, sent))
+            state = state.map(_advance(sent)).persist(StorageLevel.MEMORY_AND_DISK)
+            if t % CUT == 0 or t in stages:  # nothing depends on earlier states once this one is written
+                state.checkpoint()
+                state.count()
+                for rows, _ in older:
+                    rows.unpersist()
+                for _, gone in older[:-1]:  # the last one stays part of the written state
+                    gone.destroy()
+                older = []
+            if t in stages:
+                found.append(materialize(_staged(e, state, jobs, t, held)))
+            grower.new_tree()
+    finally:
+        for rows, sent in [*older, (state, None)]:
+            rows.unpersist()
+    out = found[0]
+    for part in found[1:]:
+        out = out.unionByName(part)
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            f = sent.value.margins(_arrays(batch, "q"), _arrays(batch, "f"))
-            bounds = pa.array(np.arange(len(f) + 1, dtype=np.int32) * f.shape[1])
-            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names[:-1]], pa.ListArray.from_arrays(bounds, pa.array(f.ravel()))], names)
 
-    return state.mapInArrow(run, state.schema), sent
+def _advance(sent):
+    def run(block: dict) -> dict:
+        return {**block, "f": sent.value.margins(block["q"], block["f"])}
+    return run
 
 
-def _grow(state: DataFrame, grower: _Grower, level: int) -> list[tuple]:
-    """Best split of every node of a level, per model."""
-    sent = state.sparkSession.sparkContext.broadcast(grower)
-    nodes = 2 ** level
+def _grow(state: RDD, grower: _Grower, level: int) -> list[tuple]:
+    """Best split of every node of a level, per model: histograms per task, their sums per model, one choice each."""
+    sent = state.context.broadcast(grower)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(blocks: Iterator[dict]) -> Iterator[tuple[int, np.ndarray]]:
         held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                for block, sums in sent.value.histograms(
-                        _arrays(part, "q"), part.column("y").to_numpy(zero_copy_only=False), _arrays(part, "folds"),
-                        part.column("r").to_numpy(zero_copy_only=False), _arrays(part, "f"), level):
-                    for m, s in zip(block.tolist(), sums):
-                        held[m] = held[m] + s if m in held else s
-        if held:
-            yield _blobs(list(held), list(held.values()))
-
-    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _add(batches):
-            rows = []
-            for m, v in zip(batch.column("m").to_pylist(), batch.column("v").to_pylist()):
-                feature, bins, values = sent.value.best(m, np.frombuffer(v).reshape(nodes, -1, 3))
-                rows.append((m, feature.tolist(), bins.tolist(), values.ravel().tolist()))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], ["m", "feature", "bin", "value"])
-
-    done = (state.select("q", "y", "folds", "r", "f").mapInArrow(count, "m int, v binary").repartition("m")
-            .mapInArrow(choose, "m bigint, feature array<bigint>, bin array<bigint>, value array<double>").collect())
+        for b in blocks:
+            for models, sums in sent.value.histograms(b["q"], b["y"], b["folds"], b["r"], b["f"], level):
+                for m, s in zip(models.tolist(), sums):
+                    held[m] = held[m] + s if m in held else s
+        return iter(held.items())
+
+    cells = len(grower.depths) * 2 ** level * int(grower.starts[-1]) * 3
+    sums = state.mapPartitions(count)
+    if cells * state.getNumPartitions() <= DRIVER_CELLS:  # the driver adds up what all tasks may send
+        total: dict[int, np.ndarray] = {}
+        for m, s in sums.collect():
+            total[m] = total[m] + s if m in total else s
+        splits = [(m, *grower.best(m, s)) for m, s in total.items()]
+    else:
+        splits = sums.reduceByKey(np.add, min(state.getNumPartitions(), _tasks(cells))).map(
+            lambda x: (x[0], *sent.value.best(*x))).collect()  # a few numbers per node
     sent.destroy()
-    return [(r["m"], np.arange(nodes), np.array(r["feature"]), np.array(r["bin"]), np.array(r["value"]).reshape(nodes, 2)) for r in done]
+    return splits
+
+
+def _staged(e: Encoded, state: RDD, jobs: Sequence[BoostJob], t: int, held: bool) -> DataFrame:
+    """Predictions of the models that have a stage at iteration t."""
+    which = np.array([i for i, j in enumerate(jobs) if t in j.stages])
+    spark, ids = e.rows.sparkSession, e.ids
+    packed = spark.createDataFrame(state.map(lambda b: (bytearray(pickle.dumps((b["ids"], b["y"], b["folds"], b["f"][:, which]), 5)),)), "block binary")
+    schema = e.rows.select(*[quoted(c) for c in ids]).schema
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for body in batch.column("block"):
+                keys, y, folds, f = pickle.loads(body.as_py())
+                with pa.ipc.open_stream(keys) as stream:
+                    known = stream.read_next_batch()
+
+                def lists(a: np.ndarray, kind: pa.DataType) -> pa.Array:
+                    return pa.ListArray.from_arrays(pa.array(np.arange(len(a) + 1, dtype=np.int32) * a.shape[1]), pa.array(a.ravel(), kind))
+                yield pa.RecordBatch.from_arrays([*known.columns, pa.array(y), lists(folds, pa.int32()), lists(f, pa.float64())],
+                                                 [*ids, "y", "folds", "f"])
+
+    flat = packed.mapInArrow(rows, f"{fields}, y double, folds array<int>, f array<double>")
+    return _predictions(e, flat, [(jobs[i].stages[t], jobs[i].split) for i in which], lambda batch: _arrays(batch, "f"), held)

@@ -55,6 +55,8 @@ def turn_sequences(turns: DataFrame, conv: str = "conv_id", turn: str = "turn",
         b["turn"]) & ((a["hi"] != b["hi"]) | (a["lo"] != b["lo"]))), lambda x: x)
     held = hold(grouped.withColumn("tied", tied))
     plain = lambda t: F.struct(t["hi"].alias("hi"), t["lo"].alias("lo"), t["words"].alias("words"))
+    if held.filter("tied").first() is None:  # no text has to move
+        return held.select(F.col("__conv").alias(conv), F.transform("turns", plain).alias("turns"))
     settled = (base.join(held.filter("tied").select("__conv"), "__conv", "left_semi")
                .select("__conv", "turn", "role", "text", *known).groupBy("__conv")
                .agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "hi", "lo", "words"))).alias("turns")))

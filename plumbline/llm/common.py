@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import re
 import uuid
 from collections.abc import Iterable, Iterator
@@ -20,6 +23,8 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _TO_SPACE = str.maketrans("\t\n\x0b\x0c\r", "     ")
 #: Entries a worker keeps in a per-word cache before it starts a new one.
 CACHE_ENTRIES = 400_000
+#: Longest word that such a cache keeps, so its entries bound its bytes.
+LONGEST_KEPT = 64
 #: Folder of the tables an application has written, by its id.
 _FOLDERS: dict[str, str] = {}
 
@@ -42,13 +47,21 @@ def mix64(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def give_back() -> None:
+    """Return freed memory of a Python worker to the machine; workers are used again for later stages."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class WordIds(dict):
     """word -> stable 64-bit id, remembered while a task meets the word again."""
 
     def __missing__(self, word: str) -> int:
         import xxhash
         value = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        self[word] = value
+        if len(word) <= LONGEST_KEPT:
+            self[word] = value
         return value
 
     def of(self, words: list[str]) -> np.ndarray:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import quoted
-from plumbline.llm.common import CACHE_ENTRIES, BitFilter, hold, mix64, ngram_ids, text_batches
+from plumbline.llm.common import CACHE_ENTRIES, BitFilter, give_back, hold, mix64, ngram_ids, text_batches
 
 #: Words of 64 bits of the parity bitmap of a set.
 BITMAP = 8
@@ -72,6 +72,8 @@ def _first_tokens(shingler: Shingler, percent: int):
                     found.append(s[np.argpartition(mix64(s, ORDERS[0]), p - 1)[:p]].view(np.int64))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], ["token"])
+        known.clear()
+        give_back()
     return run
 
 
@@ -91,6 +93,8 @@ def _signatures(shingler: Shingler, percent: int, common):
             stacked = np.stack(numbers)
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), *[pa.array(stacked[:, i]) for i in range(stacked.shape[1])],
                                               pa.array(prefixes, pa.list_(pa.int64()))], names)
+        known.clear()
+        give_back()
     return run
 
 
@@ -125,6 +129,8 @@ def _shingle_rows(shingler: Shingler, percent: int, common):
                        *[[_prefix(s, c, seed, percent) for s, c in zip(sets, last)] for seed in ORDERS[1:]]]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), *[
                 pa.array(c, pa.list_(pa.int64())) for c in columns]], ["id", "s", "p1", "p2"])
+        known.clear()
+        give_back()
     return run
 
 
@@ -241,6 +247,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
              .select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
     more = search.verified(hold(cross))
     final = components(links.union(more))
+    for sent in (common, repeated):  # their tables are written
+        sent.unpersist()
     return (member.join(final.withColumnRenamed("id", "rep"), "rep", "left")
             .select(F.col("id").alias(key), F.col("n").alias("n_shingles"),
                     F.coalesce("comp", "rep").alias("component_id")))

@@ -76,7 +76,8 @@ def mixing_query(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", F.coalesce("source", F.lit("\x00null")).alias("source"),
         F.coalesce("lang", F.lit("\x00null")).alias("lang"), mixing.topic_of(F.col("text")).alias("topic"),
         mixing.token_weight(F.col("text")).alias("n_tokens"))
-    return mixing.sample_to_targets(docs, ["source", "lang", "topic"], "doc_id", "n_tokens", power=POWER, rounds=ROUNDS)
+    # The texts are read and searched once, for the cells and for the rows.
+    return mixing.sample_to_targets(hold(docs), ["source", "lang", "topic"], "doc_id", "n_tokens", power=POWER, rounds=ROUNDS)
 
 
 @query("op6_ngram_jaccard_join")

@@ -111,8 +111,8 @@ def encode(df: DataFrame, nums: Sequence[str], cats: Sequence[str], ids: Sequenc
     return out
 
 
-def _learn_splits(e: Encoded) -> None:
-    """Fill ``splits`` from sums per (repeat, fold); only columns with gaps need a second job for medians."""
+def _learn_splits(e: Encoded, extra: int | None = None) -> None:
+    """Fill ``splits``, also of a fold ``extra`` without rows, from sums per (repeat, fold); only columns with gaps need a second job for medians."""
     each = e.rows.select("*", F.posexplode("folds").alias("repeat", "fold"))
     known = [F.when(~F.isnan(F.col("x")[i]), F.col("x")[i]) for i in range(len(e.nums))]
     sums = each.groupBy("repeat", "fold").agg(
@@ -129,12 +129,12 @@ def _learn_splits(e: Encoded) -> None:
     gaps = [i for i in range(len(e.nums)) if any(r[f"k{i}"] < r["n"] for r in sums)]
     medians: dict[tuple[int, int, int], float] = {}
     if gaps:
-        folds = sorted({f for _, f in per})
+        folds = sorted({f for _, f in per} | ({extra} if extra is not None else set()))
         train = each.select(F.explode(F.array(*[F.lit(f) for f in folds])).alias("held"), "repeat", "fold",
                             *[F.when(~F.isnan(F.col("x")[i]), F.col("x")[i]).alias(f"g{i}") for i in gaps]).filter("held <> fold")
         for r in column_quantiles(train, [f"g{i}" for i in gaps], [0.5], ["repeat", "held"]).collect():
             medians[r["repeat"], r["held"], int(r["feature"][1:])] = r["q"][0]
-    for repeat, fold in per:
+    for repeat, fold in [*per, *([] if extra is None else [(0, extra)])]:
         others = [r for (a, f), r in per.items() if a == repeat and f != fold]
         s = Split(repeat, fold, sum(r["n"] for r in others), sum(r["p"] for r in others))
         for i, c in enumerate(e.nums):
@@ -159,6 +159,13 @@ def _learn_splits(e: Encoded) -> None:
         e.splits[repeat, fold] = s
 
 
+def whole_split(e: Encoded) -> Split:
+    """The split whose training rows are all rows: a fold of the first repeat that no row is in."""
+    table = Encoded(e.rows.withColumn("folds", F.array(F.lit(1))), e.ids, e.nums, e.cats, e.levels, {})
+    _learn_splits(table, extra=0)
+    return table.splits[0, 0]
+
+
 def _arrays(batch: pa.RecordBatch, name: str) -> np.ndarray:
     column = batch.column(name)
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,8 +15,11 @@ from pyspark.sql import functions as F
 from plumbline.functions.columns import number, quoted
 from plumbline.operators.models import ModelSpec, fit, in_parallel, score
 from plumbline.operators.splits import stratified_kfold
+from plumbline.session import materialize
 
 EPS = 1e-6
+#: Steps of a sigmoid fit at most; it usually takes five to ten.
+PLATT_STEPS = 100
 
 
 def logit(p: Column, eps: float = EPS) -> Column:
@@ -24,34 +27,67 @@ def logit(p: Column, eps: float = EPS) -> Column:
     return F.log(q / (F.lit(1.0) - q))
 
 
+@dataclass(frozen=True)
+class PlattModel:
+    """A sigmoid over the logit of a score, or with ``raw`` over the score itself."""
+
+    intercept: float
+    slope: float
+    raw: bool = False
+    steps: int = 0
+
+    @property
+    def coefficients(self) -> list[float]:
+        return [self.slope]
+
+
 def fit_platt(pred: DataFrame, label: str = "y", score_col: str = "p", C: float = 1.0,
-              smooth: bool = False, raw: bool = False) -> LogisticRegressionModel:
-    """Logistic fit on the logit of the score, or with ``raw`` on the score itself.
+              smooth: bool = False, raw: bool = False) -> PlattModel:
+    """Newton's method for two parameters; every step is one aggregate over the distinct scores.
 
-    ``smooth`` uses Platt's targets (n1 + 1)/(n1 + 2) and 1/(n0 + 2), written as
-    weighted positive and negative copies of each row, and no penalty.
+    ``smooth`` uses Platt's targets (n1 + 1)/(n1 + 2) and 1/(n0 + 2) and no penalty; otherwise half the
+    squared slope over ``C`` is added to the log-loss. A step that doesn't lower the loss is halved.
     """
-    rows = pred.filter(quoted(label).isNotNull()).select(
-        quoted(label).cast("double").alias("y"), (number(score_col) if raw else logit(number(score_col))).alias("z"))
-    sizes = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("p")).first()
-    n, n1 = sizes["n"], sizes["p"] or 0.0
-    if smooth:
-        high, low = (n1 + 1) / (n1 + 2), 1 / (n - n1 + 2)
-        t = F.when(F.col("y") == 1, F.lit(high)).otherwise(F.lit(low))
-        rows = rows.select("z", F.inline(F.array(
-            F.struct(F.lit(1.0).alias("y"), t.alias("w")), F.struct(F.lit(0.0).alias("y"), (1 - t).alias("w")))))
-    else:
-        rows = rows.withColumn("w", F.lit(1.0))
-    est = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", standardization=False,
-                             regParam=0.0 if smooth else 1.0 / (C * max(n, 1)), maxIter=200)
-    return est.fit(rows.withColumn("x", array_to_vector(F.array("z"))))
-
-
-def apply_platt(pred: DataFrame, model: LogisticRegressionModel, score_col: str = "p",
+    found = pred.filter(quoted(label).isNotNull()).select(
+        quoted(label).cast("double").alias("y"), (number(score_col) if raw else logit(number(score_col))).alias("z")).dropna()
+    # Equal scores are one row, so hot scores cost nothing and the steps read a narrow table.
+    rows = materialize(found.groupBy("z").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("y").alias("pos")))
+    sizes = rows.agg(F.sum("n").alias("n"), F.sum("pos").alias("p")).first()
+    n, n1 = sizes["n"] or 0.0, sizes["p"] or 0.0
+    high, low = ((n1 + 1) / (n1 + 2), 1 / (n - n1 + 2)) if smooth else (1.0, 0.0)
+    want = F.col("pos") * high + (F.col("n") - F.col("pos")) * low
+    penalty = 0.0 if smooth else 1.0 / C
+    at, move, last = np.zeros(2), np.zeros(2), np.inf
+    for step in range(PLATT_STEPS):
+        a, b = (float(v) for v in at + move)
+        eta = F.lit(a) + F.lit(b) * F.col("z")
+        p = F.lit(1.0) / (F.lit(1.0) + F.exp(-eta))
+        off, bend = F.col("n") * p - want, F.col("n") * p * (1 - p)
+        # log(1 + exp(eta)) without overflow.
+        loss = F.col("n") * (F.greatest(eta, F.lit(0.0)) + F.log1p(F.exp(-F.abs(eta)))) - want * eta
+        r = rows.agg(F.sum(loss).alias("l"), F.sum(off).alias("g0"), F.sum(off * F.col("z")).alias("g1"), F.sum(bend).alias("h0"),
+                     F.sum(bend * F.col("z")).alias("h1"), F.sum(bend * F.col("z") * F.col("z")).alias("h2")).first()
+        if r["l"] is None:
+            break
+        loss_now = r["l"] + 0.5 * penalty * b * b
+        if loss_now > last + 1e-12 * abs(last):
+            move = move / 2
+            if np.abs(move).max() < 1e-14:
+                break
+            continue
+        at, last = np.array([a, b]), loss_now
+        gradient = np.array([r["g0"], r["g1"] + penalty * b])
+        if np.abs(gradient).max() <= 1e-10 * max(n, 1.0):
+            break
+        move = -np.linalg.lstsq(np.array([[r["h0"], r["h1"]], [r["h1"], r["h2"] + penalty]]), gradient, rcond=None)[0]
+    return PlattModel(float(at[0]), float(at[1]), raw, step + 1)
+
+
+def apply_platt(pred: DataFrame, model: PlattModel, score_col: str = "p",
                 out: str = "sigmoid_probability") -> DataFrame:
-    """The fitted curve as a plain column expression."""
-    z = F.lit(float(model.intercept)) + F.lit(float(model.coefficients[0])) * logit(number(score_col))
-    return pred.withColumn(out, F.lit(1.0) / (F.lit(1.0) + F.exp(-z)))
+    """The fitted curve as a plain column expression, over what the model was fitted on."""
+    x = number(score_col) if model.raw else logit(number(score_col))
+    return pred.withColumn(out, F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(model.intercept) + F.lit(model.slope) * x))))
 
 
 def fit_isotonic(pred: DataFrame, label: str = "y", score_col: str = "p") -> IsotonicRegressionModel:
@@ -127,9 +163,10 @@ def calibrated_cv(df: DataFrame, spec: ModelSpec, ids: Sequence[str], k: int = 5
             return model, float(platt.coefficients[0]), float(platt.intercept)
         return run
 
-    members = in_parallel([job(f) for f in range(k)], parallelism)
-    base.unpersist()
-    return CalibratedModel(members)
+    try:
+        return CalibratedModel(in_parallel([job(f) for f in range(k)], parallelism))
+    finally:
+        base.unpersist()
 
 
 def choose_calibration(performance: DataFrame, base: str, candidates: Sequence[str]) -> DataFrame:

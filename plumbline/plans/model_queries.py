@@ -126,6 +126,63 @@ def h5(spark: Spark, sf: str) -> DataFrame:
     return models.cross_validate(_folded(spark, sf), [lr()], IDS)
 
 
+#: Folds that any engine can work out: per class the rank of a digest of seed and key.
+FOLDS_SQL = f"""{d.PRED}, placed AS (SELECT id, y, r.repeat, row_number() OVER (PARTITION BY r.repeat, y ORDER BY
+   CAST(('0x' || substr(md5(r.seed || '-' || id), 1, 15)) AS BIGINT)) - 1 AS k, count(*) OVER (PARTITION BY r.repeat, y) AS n
+   FROM pred, (VALUES {', '.join(f"({i}, '{s}')" for i, s in enumerate(SEEDS))}) AS r(repeat, seed)),
+ folded AS (SELECT id, y, repeat, len(list_filter([1, 2, 3, 4], lambda f: floor(n * f / 5) <= k)) AS fold FROM placed)"""
+
+
+def _portable_folds(spark: Spark, sf: str) -> DataFrame:
+    return splits.repeated_stratified_kfold(_rows(spark, sf), "y", IDS, FOLDS, SEEDS, portable=True)
+
+
+@query("h5_cross_validate_counts", f"""WITH {FOLDS_SQL} SELECT 'logistic' AS model, repeat * 5 + fold AS split, count(*) AS rows, sum(y) AS positives,
+  TRUE AS ranked FROM folded GROUP BY ALL""", longs="split rows positives")
+def h5b(spark: Spark, sf: str) -> DataFrame:
+    m = models.cross_validate(_portable_folds(spark, sf), [lr()], IDS)
+    return m.select("model", "split", (F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")).alias("rows"),
+                    (F.col("fn") + F.col("tp")).alias("positives"), F.col("roc_auc").between(0.5, 1.0).alias("ranked"))
+
+
+@query("h10_oof_rows", f"""WITH {FOLDS_SQL} SELECT id, y, 'logistic' AS model, repeat, fold, repeat * 5 + fold AS split, TRUE AS is_probability FROM folded""",
+       longs="id y repeat fold split")
+def h10b(spark: Spark, sf: str) -> DataFrame:
+    pred = models.oof_pooled(_portable_folds(spark, sf), [lr()], IDS)
+    inside = (F.col("p") > 0) & (F.col("p") < 1)
+    return pred.select("id", "y", "model", "repeat", "fold", "split", inside.alias("is_probability"))
+
+
+LEVELS_SQL = " UNION ALL ".join(
+    [f"SELECT '{c}' AS encoded, '{c}' AS feature, count(*) AS rows FROM pred" for c in d.NUMS]
+    + [f"SELECT '{c}=' || {c}, '{c}', count(*) FROM pred GROUP BY {c}" for c in d.CATS])
+
+
+@query("h14_score_equations", f"WITH {d.PRED} SELECT *, 0.0 AS residual FROM ({LEVELS_SQL})", doubles="residual", longs="rows")
+def h14c(spark: Spark, sf: str) -> DataFrame:
+    """Per coefficient of a logistic fit on all rows what is left of its score equation, per row; and the rows that bear on it."""
+    from plumbline.operators import batched
+    rows = _rows(spark, sf)
+    # Fold 0 holds no row out that the fit would need: all rows are in fold 1.
+    e = batched.encode(rows.withColumn("folds", F.array(F.lit(1))), d.NUMS, d.CATS, IDS)
+    whole = batched.whole_split(e)
+    job = batched.LogisticJob("logistic", whole, d.NUMS, d.CATS, 1.0, False)
+    batched.fit_logistic(e, [job])
+    p = batched.predict_logistic(e, [job], held=False).select("id", "p")
+    off = rows.join(p, "id").withColumn("off", F.col("p") - F.col("y"))
+    sums = {}
+    for (name, source), beta in list(zip(job.names, job.beta))[1:]:
+        if source in d.NUMS:
+            _, mean, std = whole.numbers[source]
+            x, n = (F.col(source) - mean) / std, F.count(source)
+        else:
+            x = (F.col(source) == name.split("=", 1)[1]).cast("double")
+            n = F.count_if(x == 1)
+        sums[name] = F.struct(F.lit(name).alias("encoded"), F.lit(source).alias("feature"), n.alias("rows"),
+                              ((F.sum(F.col("off") * x) + beta) / F.count(F.lit(1))).alias("residual"))
+    return off.agg(F.array(*sums.values()).alias("found")).select(F.inline("found"))
+
+
 @query("h6_grid_search")
 def h6(spark: Spark, sf: str) -> DataFrame:
     ranked, _ = models.grid_search(_folded(spark, sf, seeds=SEEDS[:2]), lr(), LOGISTIC_GRID, IDS)
@@ -235,13 +292,35 @@ def h22(spark: Spark, sf: str) -> DataFrame:
     return models.compare_families(_folded(spark, sf), [lr(), rf(), gb()], IDS)
 
 
-@query("c1_platt")
+# Newton's steps as a recursive query over the distinct scores; the curve at every row.
+C1_SQL = f"""WITH RECURSIVE {d.PRED}, rows_ AS (SELECT id, y, pow(p, 2) AS p, ln(c / (1.0 - c)) AS z FROM
+   (SELECT *, least(greatest(pow(p, 2), 1e-6), 1.0 - 1e-6) AS c FROM pred)),
+ zs AS MATERIALIZED (SELECT z, CAST(count(*) AS DOUBLE) AS n, CAST(sum(y) AS DOUBLE) AS pos FROM rows_ GROUP BY z),
+ steps AS (SELECT 0 AS i, CAST(0.0 AS DOUBLE) AS a, CAST(0.0 AS DOUBLE) AS b UNION ALL
+   SELECT i + 1, a - (h2 * g0 - h1 * g1) / (h0 * h2 - h1 * h1), b - (h0 * g1 - h1 * g0) / (h0 * h2 - h1 * h1) FROM (
+     SELECT i, a, b, sum(n * q - pos) AS g0, sum((n * q - pos) * z) + b AS g1, sum(n * q * (1 - q)) AS h0,
+       sum(n * q * (1 - q) * z) AS h1, sum(n * q * (1 - q) * z * z) + 1.0 AS h2
+     FROM (SELECT s.i, s.a, s.b, n, pos, z, 1.0 / (1.0 + exp(-(s.a + s.b * z))) AS q FROM steps s, zs WHERE s.i < 25) GROUP BY i, a, b))
+SELECT id, y, p, 1.0 / (1.0 + exp(-(a + b * z))) AS sigmoid_probability FROM rows_, (SELECT a, b FROM steps WHERE i = 25)"""
+
+
+@query("c1_platt", C1_SQL, doubles="p sigmoid_probability", longs="id y")
 def c1(spark: Spark, sf: str) -> DataFrame:
     p = d.predictions(spark, sf).select("id", "y", F.pow("p", 2).alias("p"))
     return calibrate.apply_platt(p, calibrate.fit_platt(p))
 
 
-@query("c2_isotonic")
+# The fitted value of a score is the greatest over its lower neighbours of the least mean up to any upper one.
+C2_SQL = f"""WITH {d.PRED}, s AS (SELECT pow(p, 2) AS p, count(*) AS n, sum(y) AS pos FROM pred GROUP BY 1),
+ c AS MATERIALIZED (SELECT p, row_number() OVER (ORDER BY p) AS k, sum(n) OVER (ORDER BY p) AS n, sum(pos) OVER (ORDER BY p) AS pos FROM s),
+ starts AS (SELECT 0 AS k, 0 AS n, 0 AS pos UNION ALL SELECT k, n, pos FROM c),
+ least_ AS (SELECT a.k AS a, b.k AS b, min((b.pos - a.pos)::DOUBLE / (b.n - a.n)) OVER (PARTITION BY a.k ORDER BY b.k DESC) AS m
+            FROM starts a JOIN c b ON b.k > a.k),
+ fitted AS (SELECT b AS k, max(m) AS v FROM least_ GROUP BY b)
+SELECT id, y, pow(pred.p, 2) AS p, v AS isotonic_probability FROM pred JOIN c ON c.p = pow(pred.p, 2) JOIN fitted USING (k)"""
+
+
+@query("c2_isotonic", C2_SQL, doubles="p isotonic_probability", longs="id y")
 def c2(spark: Spark, sf: str) -> DataFrame:
     p = d.predictions(spark, sf).select("id", "y", F.pow("p", 2).alias("p"))
     return calibrate.apply_isotonic(p, calibrate.fit_isotonic(p))

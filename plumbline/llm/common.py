@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import contextvars
 import ctypes
 import gc
 import re
@@ -27,6 +28,8 @@ CACHE_ENTRIES = 400_000
 LONGEST_KEPT = 64
 #: Folder of the tables an application has written, by its id.
 _FOLDERS: dict[str, str] = {}
+#: Folder below it for the tables of the step that runs at the moment.
+_GROUP: contextvars.ContextVar[str] = contextvars.ContextVar("group", default="")
 
 
 def words_of(text: str | None) -> list[str]:
@@ -112,11 +115,29 @@ def hold(df: DataFrame, *folders: str) -> DataFrame:
     session are removed when it ends.
     """
     spark = df.sparkSession
-    path = f"{_folder(spark)}/{uuid.uuid4().hex}"
+    path = f"{_folder(spark)}/{_GROUP.get()}{uuid.uuid4().hex}"
     df.write.partitionBy(*folders).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def own_tables(spark: SparkSession, group: str) -> Iterator[None]:
+    """Keep the tables that are held inside together, and first remove those of the last time.
+
+    For steps that follow each other: when one begins, what the one before it returned has been
+    written and nothing reads its tables any more. Shuffle files of frames that are gone are removed
+    when the driver collects garbage, so that is asked for.
+    """
+    _remove(spark, f"{_folder(spark)}/{group}")
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    token = _GROUP.set(f"{group}/")
+    try:
+        yield
+    finally:
+        _GROUP.reset(token)
+
+
 def _folder(spark: SparkSession) -> str:
     """One folder per application below the shared one."""
     app = spark.sparkContext.applicationId

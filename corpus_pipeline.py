@@ -3,21 +3,38 @@
 Rejected are toxic documents, exact copies (the largest doc_id stays), near copies (the smallest
 doc_id of a group stays) and what sampling to tempered shares leaves out. What remains is
 packed into windows of token ids.
+
+A stage begins when the result of the one before it has been written; it then removes the tables
+that one has held.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import exact_dedup, jaccard, mixing, packing, toxicity
-from plumbline.llm.common import hold
+from plumbline.llm.common import hold, own_tables
 
 #: Marginals are the token shares to this power; rounds of raking.
 POWER, ROUNDS = 0.9, 8
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _alone(stage: Stage) -> Stage:
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        with own_tables(spark, "stage"):
+            return stage(spark, docs, sf_dir)
+    return run_stage
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the network, trained on the labelled ones, scores below 0.5."""
     net = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -53,8 +70,9 @@ def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), "doc_id", "text", size=4096, eos=2)
 
 
-STAGES = [("toxicity", drop_toxic), ("exact dedup", drop_copies), ("n-gram Jaccard join", drop_near_copies),
-          ("mixing sources", mix_sources), ("packing", pack_windows)]
+STAGES = [(name, _alone(stage)) for name, stage in (
+    ("toxicity", drop_toxic), ("exact dedup", drop_copies), ("n-gram Jaccard join", drop_near_copies),
+    ("mixing sources", mix_sources), ("packing", pack_windows))]
 #: Models and packing have no SQL; the stages are tested against plain versions instead.
 ORACLE_SQL = None
 

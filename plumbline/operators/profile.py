@@ -212,7 +212,7 @@ def numeric_by_class(df: DataFrame, nums: Sequence[str], target: str, digits: in
     med = column_quantiles(keyed, nums, [0.5], [target]).select(
         quoted(target), "feature", F.col("q")[0].alias("median"))
     out = base.join(med, [target, "feature"], "left")
-    return out.withColumns({c: F.round(F.col(c), digits) for c in ("mean", "median", "std", "min", "max")})
+    return out.withColumns({c: F.bround(F.col(c), digits) for c in ("mean", "median", "std", "min", "max")})
 
 
 def quantile_edges(df: DataFrame, nums: Sequence[str], bins: int, keys: Sequence[str] = ()) -> DataFrame:

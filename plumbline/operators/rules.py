@@ -46,6 +46,22 @@ def flags(metrics: DataFrame, rules: Sequence[Rule], keys: Sequence[str] = ()) -
         *keys, "priority", "metric", "value", "message")
 
 
+def compound_flags(metrics: DataFrame, rules: Sequence[tuple[Sequence[tuple], str]], keys: Sequence[str] = ()) -> DataFrame:
+    """Messages of rules over several metrics, all of whose conditions hold: ``(keys, priority, metrics, message)``.
+
+    A rule is ``([(metric, op, bound), …], message)``. A condition on a metric that a key does not have
+    does not hold, but for ``missing``, which needs a null value.
+    """
+    parts = [(i + 1, j, m, op, float(b[0]) if isinstance(b, tuple) else None if b is None else float(b),
+              float(b[1]) if isinstance(b, tuple) else None, len(conditions), "|".join(c[0] for c in conditions), message)
+             for i, (conditions, message) in enumerate(rules) for j, (m, op, b) in enumerate(conditions)]
+    r = F.broadcast(metrics.sparkSession.createDataFrame(
+        parts, "priority int, part int, metric string, op string, bound double, upper double, parts int, metrics string, message string"))
+    hit = metrics.join(r, "metric").filter(_holds(F.col("value"), F.col("op"), F.col("bound"), F.col("upper")))
+    return (hit.groupBy(*keys, "priority", "metrics", "message", "parts").agg(F.count_distinct("part").alias("__held"))
+            .filter(F.col("__held") == F.col("parts")).select(*keys, "priority", "metrics", "message"))
+
+
 def diagnosis(metrics: DataFrame, rules: Sequence[Rule], default: str, keys: Sequence[str] = ()) -> DataFrame:
     """The message of the first rule that holds, or ``default``: one row per key."""
     r = F.broadcast(_rule_table(metrics.sparkSession, rules))
@@ -150,3 +166,26 @@ def validate_scores(scores: DataFrame, source_rows: int | Column, threshold: flo
     }
     return scores.agg(F.array(*[F.struct(F.lit(k).alias("check"), v.alias("passed"))
                                 for k, v in checks.items()]).alias("c")).select(F.inline("c"))
+
+
+def feature_contract(contract: Sequence[str], table: DataFrame, metadata: Sequence[str], model: Sequence[str]) -> DataFrame:
+    """Named checks that metadata, fitted model and table agree with the production features.
+
+    One pass over the table: each feature must be there and have a value in some row; ``detail`` names
+    what is amiss. Order and repeats do not matter, other columns of the table are allowed.
+    """
+    wanted = list(dict.fromkeys(contract))
+    there = [c for c in wanted if c in table.columns]
+    facts = table.agg(F.count(F.lit(1)).alias("rows"), *[F.count(quoted(c)).alias(f"known_{i}") for i, c in enumerate(there)])
+
+    def differ(names: Sequence[str]) -> str:
+        return ", ".join(sorted(set(names) ^ set(wanted)))
+
+    absent = ", ".join(c for c in wanted if c not in table.columns)
+    empty = F.concat_ws(", ", *[F.when(F.col(f"known_{i}") == 0, F.lit(c)) for i, c in enumerate(there)])
+    details = {"contract_is_distinct": F.lit(", ".join(sorted({c for c in contract if list(contract).count(c) > 1}))),
+               "metadata_features_match": F.lit(differ(metadata)), "model_features_match": F.lit(differ(model)),
+               "table_has_features": F.lit(absent), "features_have_values": empty,
+               "table_has_rows": F.when(F.col("rows") == 0, F.lit("no rows")).otherwise(F.lit(""))}
+    return facts.select(F.inline(F.array(*[
+        F.struct(F.lit(k).alias("check"), (v == "").alias("passed"), v.alias("detail")) for k, v in details.items()])))

@@ -51,6 +51,35 @@ DRIFT = [
     ("brier_score", "gt", 0.20, "probabilities may be poorly calibrated"),
 ]
 
+# Bounds of the checks of a chosen threshold against 0.5.
+THRESHOLD = [
+    ("threshold", "lt", 0.40, "the threshold is far below 0.5 and favours recall"),
+    ("threshold", "between", (0.40, 0.60), "the threshold is near 0.5"),
+    ("threshold", "gt", 0.60, "the threshold is far above 0.5 and favours precision"),
+    ("f1_gain", "gt", 0.02, "F1 gains clearly over 0.5"),
+    ("f1_gain", "between", (1e-9, 0.02), "F1 gains a little over 0.5"),
+    ("f1_gain", "lt", 1e-9, "F1 does not gain over 0.5"),
+    ("predicted_positive_rate", "gt", 0.50, "more than half of all rows are flagged"),
+    ("flagged_to_prevalence", "gt", 2.0, "flags exceed twice the prevalence"),
+]
+
+# Bounds of the last validation of a model over its splits.
+VALIDATION = [
+    ("roc_auc", "lt", 0.60, "weak ranking"),
+    ("roc_auc", "between", (0.60, 0.70), "modest ranking"),
+    ("roc_auc", "ge", 0.70, "strong ranking"),
+    ("roc_auc_std", "ge", 0.05, "ranking depends on the split"),
+    ("roc_auc_std", "lt", 0.05, "ranking is steady over the splits"),
+    ("precision", "lt", 0.40, "most flags are false"),
+]
+
+# Findings that need several metrics at once.
+TRADE_OFFS = [
+    ([("f1_gain", "gt", 0.0), ("predicted_positive_rate", "gt", 0.50)], "F1 gains, but by flagging more than half of all rows"),
+    ([("precision", "lt", 0.40), ("recall", "gt", 0.70)], "recall is bought with many false flags"),
+    ([("roc_auc", "ge", 0.60), ("roc_auc_std", "lt", 0.05), ("f1_gain", "ge", 0.0)], "ranking holds over the splits and the threshold pays"),
+]
+
 # Bounds of the checks of one operating point and its probabilities.
 OPERATING_POINT = [
     ("calibration_bias", "ge", 0.10, "scores are too high on average"),

@@ -182,8 +182,8 @@ def a11c(spark: Spark, sf: str) -> DataFrame:
 
 
 @query("a12_numeric_by_class", f"WITH {d.LINES} " + stack("""
-SELECT returnflag, '{c}' AS feature, count({c}) AS count, round(avg({c}), 2) AS mean, round(stddev_samp({c}), 2) AS std, round(min({c}), 2) AS min,
-  round(max({c}), 2) AS max, round(quantile_cont({c}, 0.5), 2) AS median FROM li GROUP BY returnflag""", *d.LINE_NUMS),
+SELECT returnflag, '{c}' AS feature, count({c}) AS count, round_even(avg({c}), 2) AS mean, round_even(stddev_samp({c}), 2) AS std, round_even(min({c}), 2) AS min,
+  round_even(max({c}), 2) AS max, round_even(quantile_cont({c}, 0.5), 2) AS median FROM li GROUP BY returnflag""", *d.LINE_NUMS),
        doubles="mean std min max median", longs="count")
 def a12(spark: Spark, sf: str) -> DataFrame:
     return profile.numeric_by_class(d.line_items(spark, sf), d.LINE_NUMS, "returnflag")

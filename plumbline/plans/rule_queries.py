@@ -103,3 +103,63 @@ def production(spark: Spark, sf: str) -> DataFrame:
     wide = metrics.model_comparison(d.method_predictions(spark, sf), THRESHOLDS)
     long = rules.metrics_long(wide, list(dict.fromkeys(m for _, m, *_ in rulesets.PRODUCTION_GATE)), ["method"])
     return rules.gate(rules.metric_checks(long, rulesets.PRODUCTION_GATE, ["method"]), ["method"])
+
+
+def _at(t: float) -> str:
+    return f"""count(*) FILTER (p >= {t} AND y = 1) AS tp, count(*) FILTER (p >= {t} AND y = 0) AS fp, count(*) FILTER (p < {t} AND y = 1) AS fn"""
+
+
+VALIDATED = d.PRED + f""", chosen AS (SELECT segment, {_at(0.44)}, count(*) AS n, sum(y) AS pos FROM pred GROUP BY segment),
+ usual AS (SELECT segment, {_at(0.5)} FROM pred GROUP BY segment),
+ won AS (SELECT segment, split, sum(y * (neg_before + neg / 2.0)) / (sum(y) * sum(neg)) AS roc_auc FROM (
+   SELECT segment, split, sum(y) AS y, sum(1 - y) AS neg, sum(sum(1 - y)) OVER (PARTITION BY segment, split ORDER BY p) - sum(1 - y) AS neg_before
+   FROM pred GROUP BY segment, split, p) GROUP BY segment, split),
+ spread AS (SELECT segment, avg(roc_auc) AS roc_auc, stddev_samp(roc_auc) AS roc_auc_std FROM won GROUP BY segment),
+ wide AS (SELECT segment, 0.44 AS threshold, 2.0 * c.tp / (2 * c.tp + c.fp + c.fn) - 2.0 * u.tp / (2 * u.tp + u.fp + u.fn) AS f1_gain,
+   (c.tp + c.fp)::DOUBLE / n AS predicted_positive_rate, (c.tp + c.fp)::DOUBLE / pos AS flagged_to_prevalence,
+   c.tp::DOUBLE / (c.tp + c.fp) AS "precision", c.tp::DOUBLE / (c.tp + c.fn) AS recall, roc_auc, roc_auc_std
+   FROM chosen c JOIN usual u USING (segment) JOIN spread USING (segment))"""
+
+
+def _validated(spark: Spark, sf: str) -> DataFrame:
+    """Per segment the metrics of the threshold 0.44, its gain over 0.5 and the ranking over the splits."""
+    pred = d.predictions(spark, sf)
+    at = metrics.threshold_metrics(pred, 0.44, ["segment"])
+    usual = metrics.threshold_metrics(pred, 0.5, ["segment"]).select("segment", F.col("f1").alias("usual"))
+    spread = metrics.ranking_metrics(pred, ["segment", "split"]).groupBy("segment").agg(
+        F.avg("roc_auc").alias("roc_auc"), F.stddev_samp("roc_auc").alias("roc_auc_std"))
+    prevalence = pred.groupBy("segment").agg(F.avg("y").alias("prevalence"))
+    return at.join(usual, "segment").join(spread, "segment").join(prevalence, "segment").select(
+        "segment", "threshold", (F.col("f1") - F.col("usual")).alias("f1_gain"), "predicted_positive_rate",
+        (F.col("predicted_positive_rate") / F.col("prevalence")).alias("flagged_to_prevalence"), "precision", "recall", "roc_auc", "roc_auc_std")
+
+
+@query("r1_threshold_flags", f"WITH {VALIDATED} {hits_sql(rulesets.THRESHOLD, 'wide', 'segment')}", doubles="value", longs="priority")
+def r1_threshold(spark: Spark, sf: str) -> DataFrame:
+    return _flags(_validated(spark, sf), rulesets.THRESHOLD, ("segment",))
+
+
+@query("r1_validation_flags", f"WITH {VALIDATED} {hits_sql(rulesets.VALIDATION, 'wide', 'segment')}", doubles="value", longs="priority")
+def r1_validation(spark: Spark, sf: str) -> DataFrame:
+    return _flags(_validated(spark, sf), rulesets.VALIDATION, ("segment",))
+
+
+_OPS = {"lt": "<", "le": "<=", "gt": ">", "ge": ">="}
+
+
+@query("r1_compound_flags", f"WITH {VALIDATED} " + " UNION ALL ".join(
+    f"""SELECT segment, {i + 1} AS priority, '{"|".join(m for m, *_ in rule)}' AS metrics, '{message}' AS message FROM wide
+    WHERE {" AND ".join(f'"{m}" {_OPS[op]} {b}' for m, op, b in rule)}""" for i, (rule, message) in enumerate(rulesets.TRADE_OFFS)), longs="priority")
+def r1_compound(spark: Spark, sf: str) -> DataFrame:
+    names = list(dict.fromkeys(m for rule, _ in rulesets.TRADE_OFFS for m, *_ in rule))
+    return rules.compound_flags(rules.metrics_long(_validated(spark, sf), names, ("segment",)), rulesets.TRADE_OFFS, ("segment",))
+
+
+@query("r6_feature_contract", f"""WITH {d.PRED}, k AS (SELECT count(price) AS a, count(balance) AS b, count(segment) AS c, count(*) AS n FROM pred)
+SELECT 'contract_is_distinct' AS "check", TRUE AS passed, '' AS detail UNION ALL SELECT 'metadata_features_match', FALSE, 'priority'
+UNION ALL SELECT 'model_features_match', TRUE, '' UNION ALL SELECT 'table_has_features', FALSE, 'tenure'
+UNION ALL SELECT 'features_have_values', a > 0 AND b > 0 AND c > 0, '' FROM k UNION ALL SELECT 'table_has_rows', n > 0, '' FROM k""")
+def r6_contract(spark: Spark, sf: str) -> DataFrame:
+    """A contract with a feature that the table lacks, and metadata that name one more."""
+    contract_features = ["price", "balance", "segment", "tenure"]
+    return rules.feature_contract(contract_features, d.predictions(spark, sf), [*contract_features, "priority"], contract_features)

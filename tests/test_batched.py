@@ -172,3 +172,36 @@ def test_fold_tables_have_one_row_per_row(spark, folded):
     held = splits.holdout_table(one, "y", ["id"], 4, 0.25)
     assert held.count() == 120 and all(s in (29, 30, 31) for s in [
         sum(r["holdouts"][i] for r in held.collect()) for i in range(4)])
+
+
+def test_compound_rules_and_feature_contract(spark):
+    from plumbline.operators import rules
+    wide = spark.createDataFrame([("a", 0.3, 0.9), ("b", 0.5, 0.9), ("c", 0.3, None)], "k string, precision double, recall double")
+    found = rules.compound_flags(rules.metrics_long(wide, ["precision", "recall"], ["k"]), [
+        ([("precision", "lt", 0.4), ("recall", "gt", 0.7)], "costly"), ([("recall", "missing", None)], "unknown"),
+        ([("recall", "between", (0.8, 0.95))], "high"), ([("absent", "lt", 1.0)], "never")], ["k"]).collect()
+    assert sorted((r["k"], r["priority"], r["metrics"], r["message"]) for r in found) == [
+        ("a", 1, "precision|recall", "costly"), ("a", 3, "recall", "high"), ("b", 3, "recall", "high"), ("c", 2, "recall", "unknown")]
+    df = spark.createDataFrame([(1, None)], "x int, y int")
+    got = {r["check"]: (r["passed"], r["detail"]) for r in rules.feature_contract(["x", "y", "z"], df, ["z", "y", "x"], ["x", "y"]).collect()}
+    assert got == {"contract_is_distinct": (True, ""), "metadata_features_match": (True, ""), "model_features_match": (False, "z"),
+                   "table_has_features": (False, "z"), "features_have_values": (False, "y"), "table_has_rows": (True, "")}
+    assert not {r["check"]: r["passed"] for r in rules.feature_contract(["x"], df.limit(0), ["x"], ["x"]).collect()}["table_has_rows"]
+
+
+def test_sigmoid_is_applied_to_what_it_was_fitted_on(spark):
+    from plumbline.operators import calibrate
+    r = random.Random(6)
+    rows = [(p, int(r.random() < p * p)) for p in (r.random() for _ in range(400))]
+    df = spark.createDataFrame(rows, "p double, y int")
+    for raw, smooth in ((True, False), (False, False), (True, True)):
+        model = calibrate.fit_platt(df, raw=raw, smooth=smooth)
+        got = np.array([x["q"] for x in calibrate.apply_platt(df, model, out="q").orderBy("p").collect()])
+        x = np.array(sorted(p for p, _ in rows))
+        z = x if raw else np.log(x / (1 - x))
+        assert np.allclose(got, 1 / (1 + np.exp(-(model.intercept + model.slope * z))))
+        y = np.array([b for _, b in sorted(rows)], float)
+        if smooth:
+            y = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
+        assert abs((got - y).sum()) < 1e-5 and abs(((got - y) * z).sum() + (0 if smooth else model.slope)) < 1e-5
+    assert calibrate.fit_platt(df.limit(0)).slope == 0.0

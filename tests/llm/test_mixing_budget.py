@@ -51,3 +51,20 @@ def test_budget_with_values_without_target(spark):
     assert mixing.sample_to_targets(df.limit(0), ["s", "l"], "doc_id", "n", budget=0.5).count() == 0
     with pytest.raises(ValueError):
         mixing.sample_to_targets(df, ["s", "l"], "doc_id", "n", budget=1.5)
+
+
+def test_steps_remove_the_tables_of_the_step_before(spark):
+    """Tables held inside a step go when the next one begins; others stay; long words are not cached."""
+    from plumbline.llm.common import LONGEST_KEPT, WordIds, hold, own_tables
+    outside = hold(spark.range(3))
+    with own_tables(spark, "step"):
+        inside = hold(spark.range(4))
+        assert inside.count() == 4
+    path = inside.inputFiles()[0].rsplit("/", 1)[0]
+    with own_tables(spark, "step"):
+        assert hold(spark.range(5)).count() == 5
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    assert not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    assert outside.count() == 3
+    ids = WordIds()
+    assert len(set(ids.of(["a", "b" * LONGEST_KEPT, "b" * LONGEST_KEPT + "c"]).tolist())) == 3 and len(ids) == 2

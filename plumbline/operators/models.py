@@ -299,7 +299,9 @@ def evaluate_candidates(df: DataFrame, candidates: Sequence[ModelSpec], ids: Seq
     groups = ([together] if together else []) + [rest[i:i + CANDIDATES_AT_ONCE] for i in range(0, len(rest), CANDIDATES_AT_ONCE)]
     scores = _union([materialize(compare_families(df, g, ids, label, parallelism)) for g in groups])
     if train_scores:
-        pred = batched_predictions(df, together, ids, label, held=False)
+        pred = batched_predictions(df, together, ids, label, held=False) if together else None
+        if pred is None:
+            raise ValueError("training scores need logistic or boosted candidates with few levels")
         fitted = ranking_metrics(pred, ["model", "split"]).groupBy("model").agg(
             F.avg("roc_auc").alias("train_roc_auc_mean"), F.avg("pr_auc").alias("train_pr_auc_mean"))
         scores = scores.join(materialize(fitted), "model", "left")

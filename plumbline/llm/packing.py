@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import os
+import unicodedata
 from collections import deque
 from collections.abc import Iterator
+from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -12,43 +15,142 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import quoted
-from plumbline.llm.common import CACHE_ENTRIES, by_bytes, text_batches
+from plumbline.llm.common import CACHE_ENTRIES, LONGEST_KEPT, by_bytes, text_batches
 
 #: Costs in tokens of padding: cutting between sentences, within one, and of a window as such.
 SENTENCE_COST, HARD_COST, WINDOW_COST = 24.0, 400.0, 4.0
 #: Where no sentence ends, this many cuts are offered on the length of a window.
 HARD_CUTS = 16
+#: Ids of remembered words that an encoder holds before it starts anew.
+CACHE_IDS = 4 << 20
+#: Characters that the pre-tokenizer joins to one word behind letters (not the apostrophe, which may start an ending).
+PUNCTUATION = ".,!?;:$&()\""
 #: Tokens that are cut up together; windows don't cross this border.
 BLOCK_TOKENS = 1 << 20
 
 
+class _Places(dict):
+    """word -> place in the tables of its encoder; a new word gets the next place and waits to be encoded."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.taken = 0
+        self.waiting: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        place = self[word] = self.taken
+        self.taken += 1
+        self.waiting.append(word)
+        return place
+
+
 class WordEncoder:
-    """Token ids of texts, word by word, remembering the words of a task.
+    """Token ids of texts, word by word, remembering the words it met.
 
     The vocabulary's normaliser folds white space and its pre-tokenizer drops it, so the ids
-    of a text are those of its words one after the other.
+    of a text are those of its words one after the other. A word of letters with punctuation behind
+    it is two words to the pre-tokenizer, so these are looked up and encoded apart. The last token of a
+    word is marked in the vocabulary, so words of letters are encoded as one text and told apart again.
     """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.word_ends = np.zeros(max(vocab.values()) + 1, bool)
         for token, i in vocab.items():
             plain = token.removesuffix("</w>")
-            self.ends[i] = token.endswith("</w>") and plain[-1:] in tuple(".!?")
+            self.word_ends[i] = token.endswith("</w>")
+            self.ends[i] = self.word_ends[i] and plain[-1:] in tuple(".!?")
+        self._forget()
+
+    def _forget(self) -> None:
+        self.places, self.ids = _Places(), np.empty(0, "<u4")
+        self.starts, self.sizes = np.empty(0, np.int64), np.empty(0, np.int64)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.places) > CACHE_ENTRIES or len(self.ids) > CACHE_IDS:
+            self._forget()
         words = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > CACHE_ENTRIES:
-            self.known.clear()
-        new = set().union(*words) - self.known.keys()
-        for batch in by_bytes(new, len, 1 << 18):
-            for w, e in zip(batch, self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-        return [np.frombuffer(b"".join(map(self.known.__getitem__, w)), "<u4") for w in words]
+        counts = np.fromiter(map(len, words), np.int64, len(words))
+        at = np.fromiter(map(self.places.__getitem__, chain.from_iterable(words)), np.int64, int(counts.sum()))
+        self._learn()
+        sizes = self.sizes[at]
+        ids = _gather(self.ids, self.starts[at], sizes)
+        bounds = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(counts)]
+        return np.split(ids, bounds[:-1])
+
+    def _learn(self) -> None:
+        """Encode the waiting words; long ones are not remembered after these texts."""
+        places, first = self.places, len(self.starts)
+        whole, parts, long = [], [], []
+        for word in places.waiting:
+            if len(word) > LONGEST_KEPT:
+                long.append(word)
+            stem = word.rstrip(PUNCTUATION)
+            # Some letters normalise to a letter and a mark, which goes with the punctuation.
+            low = stem.lower() if stem.isascii() else unicodedata.normalize("NFC", stem).lower()
+            if len(stem) < len(word) and low.isalpha():
+                parts.append((places[word], low if stem.isascii() else stem, word[len(stem):]))
+            else:
+                whole.append(word)
+        places.waiting = []
+        pairs = np.array([(at, places[stem], places[tail]) for at, stem, tail in parts], np.int64).reshape(-1, 3)
+        whole += places.waiting
+        long += [w for w in places.waiting if len(w) > LONGEST_KEPT]
+        places.waiting = []
+
+        starts = np.concatenate([self.starts, np.zeros(places.taken - first, np.int64)])
+        sizes = np.concatenate([self.sizes, np.zeros(places.taken - first, np.int64)])
+        pieces, total = [self.ids], len(self.ids)
+        for batch in by_bytes(whole, len, 1 << 18):
+            ids, n = self._encode_words(batch)
+            at = np.fromiter(map(places.__getitem__, batch), np.int64, len(batch))
+            starts[at], sizes[at] = total + np.cumsum(n) - n, n
+            pieces.append(ids)
+            total += len(ids)
+        ids = np.concatenate(pieces)
+        # The two parts of a word lie next to each other in the order (stem, tail).
+        both = pairs[:, 1:].ravel()
+        starts[pairs[:, 0]] = len(ids) + np.concatenate([[0], np.cumsum(sizes[both])])[:-1:2]
+        sizes[pairs[:, 0]] = sizes[both].reshape(-1, 2).sum(1)
+        self.ids = np.concatenate([ids, _gather(ids, starts[both], sizes[both])])
+        self.starts, self.sizes = starts, sizes
+        for word in long:
+            del places[word]
+
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words one after the other, and how many each has."""
+        lengths = np.zeros(len(words), np.int64)
+        plain = np.fromiter(map(str.isalpha, words), bool, len(words))
+        letters = [w for w, p in zip(words, plain) if p]
+        joined = np.array(self.tokenizer.encode_batch_fast([" ".join(letters)], add_special_tokens=False)[0].ids, "<u4")
+        last = np.flatnonzero(self.word_ends[joined])
+        if len(last) != len(letters):  # letters that the pre-tokenizer takes apart
+            plain[:], joined, last = False, joined[:0], last[:0]
+        others = [w for w, p in zip(words, plain) if not p]
+        apart = [e.ids for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)]
+        lengths[plain] = np.diff(last, prepend=-1)
+        lengths[~plain] = np.fromiter(map(len, apart), np.int64, len(apart))
+        ids = np.empty(int(lengths.sum()), "<u4")
+        mine = np.repeat(plain, lengths)
+        ids[mine] = joined
+        ids[~mine] = np.fromiter(chain.from_iterable(apart), "<u4")
+        return ids, lengths
+
+
+@cache
+def _encoder(path: str) -> WordEncoder:
+    """One encoder per worker, so that later tasks find the words of earlier ones."""
+    return WordEncoder(path)
+
+
+def _gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The stretches of ``values`` one after the other."""
+    ends = np.cumsum(sizes)
+    return values[np.repeat(starts - ends + sizes, sizes) + np.arange(int(sizes.sum()))]
 
 
 def _candidates(marks: np.ndarray, costs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -73,12 +175,13 @@ def choose_cuts(marks: np.ndarray, costs: np.ndarray, size: int) -> list[int]:
     """
     marks, costs = _candidates(marks, costs, size)
     m = len(marks)
-    exact: list[list[int]] = [[] for _ in range(m)]
+    exact: dict[int, list[int]] = {}
     length = 1
     while length <= size:
         at = np.minimum(np.searchsorted(marks, marks - length), m - 1)
-        for j in np.flatnonzero(marks[at] == marks - length).tolist():
-            exact[j].append(int(at[j]))
+        hits = np.flatnonzero(marks[at] == marks - length)
+        for j, i in zip(hits.tolist(), at[hits].tolist()):
+            exact.setdefault(j, []).append(i)
         length *= 2
     where, price = marks.tolist(), costs.tolist()
     best, back = [0.0] * m, [0] * m
@@ -90,9 +193,10 @@ def choose_cuts(marks: np.ndarray, costs: np.ndarray, size: int) -> list[int]:
             queue.popleft()
         value, start = queue[0]
         value += size - here
-        for i in exact[j]:
-            if best[i] < value:
-                value, start = best[i], i
+        if j in exact:
+            for i in exact[j]:
+                if best[i] < value:
+                    value, start = best[i], i
         value += WINDOW_COST + price[j]
         best[j], back[j] = value, start
         level = value + here
@@ -161,7 +265,7 @@ def pack(df: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "t
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
-        encoder = WordEncoder(tokenizer_path)
+        encoder = _encoder(tokenizer_path)
         packer = _Packer(size, encoder.ends, eos, TaskContext.get().partitionId() << 36)
         names = ["key", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
 

@@ -57,6 +57,23 @@ def test_packing_is_an_exact_round_trip(spark):
     assert packing.pack(rows(spark, []), public_tokenizers.path("word_bpe_49k.json")).count() == 0
 
 
+def test_word_encoder_equals_the_library(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain, rng = Tokenizer.from_file(path), np.random.default_rng(5)
+    alphabet = list("aBcdEé.,!?;:$&()\"'’ \n\tİß\u0301\u0338Σσς1٣ªⅣ漢\u0958ᄀ\u1161한\u00a0\u3000😀_-") + ["'s", "'LL ", "<|endoftext|>"]
+    texts = ["".join(rng.choice(alphabet, rng.integers(0, 60))) for _ in range(1500)]
+    texts += ["don't. word." + "x" * 500 + ".", "x" * 500 + ". word, Word. wOrd!!", "", " ", "É. é. ÉÉ?"] * 3
+    encoder = packing.WordEncoder(path)
+    for entries in (packing.CACHE_ENTRIES, 50):
+        monkeypatch.setattr(packing, "CACHE_ENTRIES", entries)
+        for at in range(0, len(texts), 97):
+            some = texts[at:at + 97]
+            for text, ids in zip(some, encoder.encode(some), strict=True):
+                assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids, text
+            assert max(map(len, encoder.places)) <= packing.LONGEST_KEPT
+    assert encoder.encode([]) == []
+
+
 def test_packing_blocks(spark, monkeypatch):
     monkeypatch.setattr(packing, "BLOCK_TOKENS", 500)
     packer = packing._Packer(64, np.zeros(10, bool), 2, 5)

@@ -80,7 +80,7 @@ class WordEncoder:
         sizes = self.sizes[at]
         ids = _gather(self.ids, self.starts[at], sizes)
         bounds = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(counts)]
-        return np.split(ids, bounds[:-1])
+        return np.split(ids, bounds[:-1]) if texts else []
 
     def _learn(self) -> None:
         """Encode the waiting words; long ones are not remembered after these texts."""

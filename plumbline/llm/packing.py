@@ -5,9 +5,9 @@ from __future__ import annotations
 import os
 import unicodedata
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
-from itertools import chain
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +32,9 @@ BLOCK_TOKENS = 1 << 20
 class _Places(dict):
     """word -> place in the tables of its encoder; a new word gets the next place and waits to be encoded."""
 
-    def __init__(self) -> None:
-        super().__init__()
-        self.taken = 0
+    def __init__(self, words: Iterable[str] = ()) -> None:
+        super().__init__(zip(words, count()))
+        self.taken = len(self)
         self.waiting: list[str] = []
 
     def __missing__(self, word: str) -> int:
@@ -64,19 +64,27 @@ class WordEncoder:
             plain = token.removesuffix("</w>")
             self.word_ends[i] = token.endswith("</w>")
             self.ends[i] = self.word_ends[i] and plain[-1:] in tuple(".!?")
-        self._forget()
-
-    def _forget(self) -> None:
         self.places, self.ids = _Places(), np.empty(0, "<u4")
-        self.starts, self.sizes = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.starts, self.sizes, self.uses = (np.empty(0, np.int64) for _ in range(3))
+
+    def _trim(self) -> None:
+        """Forget all words but those used most, which fill half the room at most."""
+        words, at = list(self.places), np.fromiter(self.places.values(), np.int64, len(self.places))
+        order = np.argsort(-self.uses[at], kind="stable")[:CACHE_ENTRIES // 2]
+        order = order[(self.uses[at[order]] > 1) & (np.cumsum(self.sizes[at[order]]) <= CACHE_IDS // 2)]
+        kept = at[order]
+        self.places = _Places([words[i] for i in order.tolist()])
+        self.ids, self.sizes = _gather(self.ids, self.starts[kept], self.sizes[kept]), self.sizes[kept]
+        self.starts, self.uses = np.cumsum(self.sizes) - self.sizes, self.uses[kept] // 2
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.places) > CACHE_ENTRIES or len(self.ids) > CACHE_IDS:
-            self._forget()
+            self._trim()
         words = [t.replace("\n", " ").split(" ") for t in texts]
         counts = np.fromiter(map(len, words), np.int64, len(words))
         at = np.fromiter(map(self.places.__getitem__, chain.from_iterable(words)), np.int64, int(counts.sum()))
         self._learn()
+        self.uses += np.bincount(at, minlength=len(self.uses))
         sizes = self.sizes[at]
         ids = _gather(self.ids, self.starts[at], sizes)
         bounds = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(counts)]
@@ -102,8 +110,8 @@ class WordEncoder:
         long += [w for w in places.waiting if len(w) > LONGEST_KEPT]
         places.waiting = []
 
-        starts = np.concatenate([self.starts, np.zeros(places.taken - first, np.int64)])
-        sizes = np.concatenate([self.sizes, np.zeros(places.taken - first, np.int64)])
+        starts, sizes, uses = (np.concatenate([old, np.zeros(places.taken - first, np.int64)])
+                               for old in (self.starts, self.sizes, self.uses))
         pieces, total = [self.ids], len(self.ids)
         for batch in by_bytes(whole, len, 1 << 18):
             ids, n = self._encode_words(batch)
@@ -117,7 +125,7 @@ class WordEncoder:
         starts[pairs[:, 0]] = len(ids) + np.concatenate([[0], np.cumsum(sizes[both])])[:-1:2]
         sizes[pairs[:, 0]] = sizes[both].reshape(-1, 2).sum(1)
         self.ids = np.concatenate([ids, _gather(ids, starts[both], sizes[both])])
-        self.starts, self.sizes = starts, sizes
+        self.starts, self.sizes, self.uses = starts, sizes, uses + np.bincount(both, minlength=len(uses))
         for word in long:
             del places[word]
 
@@ -177,7 +185,7 @@ def choose_cuts(marks: np.ndarray, costs: np.ndarray, size: int) -> list[int]:
     m = len(marks)
     exact: dict[int, list[int]] = {}
     length = 1
-    while length <= size:
+    while length < size:
         at = np.minimum(np.searchsorted(marks, marks - length), m - 1)
         hits = np.flatnonzero(marks[at] == marks - length)
         for j, i in zip(hits.tolist(), at[hits].tolist()):

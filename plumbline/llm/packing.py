@@ -93,19 +93,23 @@ class WordEncoder:
     def _learn(self) -> None:
         """Encode the waiting words; long ones are not remembered after these texts."""
         places, first = self.places, len(self.starts)
-        whole, parts, long = [], [], []
+        whole, long, halves, stems, tails = [], [], [], [], []
         for word in places.waiting:
             if len(word) > LONGEST_KEPT:
                 long.append(word)
             stem = word.rstrip(PUNCTUATION)
-            # Some letters normalise to a letter and a mark, which goes with the punctuation.
-            low = stem.lower() if stem.isascii() else unicodedata.normalize("NFC", stem).lower()
-            if len(stem) < len(word) and low.isalpha():
-                parts.append((places[word], low if stem.isascii() else stem, word[len(stem):]))
-            else:
-                whole.append(word)
+            if len(stem) < len(word):
+                ascii = stem.isascii()
+                # Some letters normalise to a letter and a mark, which goes with the punctuation.
+                low = stem.lower() if ascii else unicodedata.normalize("NFC", stem).lower()
+                if low.isalpha():
+                    halves.append(word)
+                    stems.append(low if ascii else stem)
+                    tails.append(word[len(stem):])
+                    continue
+            whole.append(word)
         places.waiting = []
-        pairs = np.array([(at, places[stem], places[tail]) for at, stem, tail in parts], np.int64).reshape(-1, 3)
+        pairs = np.array([[places[w] for w in words] for words in (halves, stems, tails)], np.int64).T
         whole += places.waiting
         long += [w for w in places.waiting if len(w) > LONGEST_KEPT]
         places.waiting = []
@@ -183,34 +187,35 @@ def choose_cuts(marks: np.ndarray, costs: np.ndarray, size: int) -> list[int]:
     """
     marks, costs = _candidates(marks, costs, size)
     m = len(marks)
-    exact: dict[int, list[int]] = {}
+    pairs = []  # (start, end) of the possible windows of a power of two
     length = 1
     while length < size:
         at = np.minimum(np.searchsorted(marks, marks - length), m - 1)
-        hits = np.flatnonzero(marks[at] == marks - length)
-        for j, i in zip(hits.tolist(), at[hits].tolist()):
-            exact.setdefault(j, []).append(i)
+        ends = np.flatnonzero(marks[at] == marks - length)
+        pairs.append(np.stack([at[ends], ends]))
         length *= 2
-    where, price = marks.tolist(), costs.tolist()
+    starts, ends = np.concatenate(pairs or [np.empty((2, 0), np.int64)], axis=1)
+    exact = starts[np.argsort(ends, kind="stable")].tolist()
+    first = np.concatenate([[0], np.cumsum(np.bincount(ends, minlength=m))]).tolist()
+    where, price = marks.tolist(), (costs + WINDOW_COST).tolist()
     best, back = [0.0] * m, [0] * m
-    queue: deque[tuple[float, int]] = deque([(0.0, 0)])
+    queue: deque[tuple[float, int, int]] = deque([(0.0, 0, 0)])  # (best + position, position, place)
     for j in range(1, m):
         here = where[j]
         low = here - size
-        while where[queue[0][1]] < low:
+        while queue[0][1] < low:
             queue.popleft()
-        value, start = queue[0]
-        value += size - here
-        if j in exact:
-            for i in exact[j]:
-                if best[i] < value:
-                    value, start = best[i], i
-        value += WINDOW_COST + price[j]
+        value, _, start = queue[0]
+        value -= low
+        for i in exact[first[j]:first[j + 1]]:
+            if best[i] < value:
+                value, start = best[i], i
+        value += price[j]
         best[j], back[j] = value, start
         level = value + here
         while queue and queue[-1][0] >= level:
             queue.pop()
-        queue.append((level, j))
+        queue.append((level, here, j))
     cuts = []
     j = m - 1
     while j:
